@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .pages import format_pages, select_pages
+from .pages import bind, format_pages, select_pages
 from .tokens import text_tokens
 
 INVOICE_TYPE = (
@@ -42,12 +42,14 @@ def pdf_invoice(
     source: Column, path_or_url: Column, text: Column, page_count: Column, hint: Column, sha256: Column,
     size_bytes: Column,
 ) -> Column:
-    pages = select_pages(page_count, hint)
-    return invoice(
-        kind=F.lit("pdf"), source=source, path_or_url=path_or_url, text=text, pages_read=format_pages(pages),
-        page_count=page_count, sha256=sha256, size_bytes=size_bytes, read_path=F.lit("vision"),
-        est_input_tokens=F.size(pages) * vocab.PAGE_TOKENS_HIGH + text_tokens(text),
-    )
+    def build(pages: Column) -> Column:
+        return invoice(
+            kind=F.lit("pdf"), source=source, path_or_url=path_or_url, text=text, pages_read=format_pages(pages),
+            page_count=page_count, sha256=sha256, size_bytes=size_bytes, read_path=F.lit("vision"),
+            est_input_tokens=F.size(pages) * vocab.PAGE_TOKENS_HIGH + text_tokens(text),
+        )
+
+    return bind(select_pages(page_count, hint), build)
 
 
 def looks_like_login(body: Column) -> Column:

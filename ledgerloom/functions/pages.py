@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,27 +35,38 @@ def page_window(page_count: Column, hint: Column) -> Column:
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def select_pages(page_count: Column, hint: Column) -> Column:
     """Page numbers to read: a window of up to 20 pages in full, a longer one by its first and last two."""
-    window = page_window(page_count.cast("int"), hint)
-    first, last = window["first"], window["last"]
-    edges = F.array_union(
-        F.sequence(first, first + (vocab.EDGE_PAGES - 1)), F.sequence(last - (vocab.EDGE_PAGES - 1), last)
-    )
-    empty = F.array().cast("array<int>")
-    return (
-        F.when(last < first, empty)
-        .when(last - first + 1 <= vocab.FULL_READ_PAGES, F.sequence(first, last))
-        .otherwise(edges)
-    )
+
+    def choose(window: Column) -> Column:
+        first, last = window["first"], window["last"]
+        edges = F.array_union(
+            F.sequence(first, first + (vocab.EDGE_PAGES - 1)), F.sequence(last - (vocab.EDGE_PAGES - 1), last)
+        )
+        return (
+            F.when(last < first, F.array().cast("array<int>"))
+            .when(last - first + 1 <= vocab.FULL_READ_PAGES, F.sequence(first, last))
+            .otherwise(edges)
+        )
+
+    return bind(page_window(page_count.cast("int"), hint), choose)
 
 
 def format_pages(pages: Column) -> Column:
     """`1-2,24-25` for sorted page numbers; a lone page is written `7-7`."""
-    starts = F.filter(pages, lambda p: ~F.array_contains(pages, p - 1))
-    ends = F.filter(pages, lambda p: ~F.array_contains(pages, p + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
-    return F.array_join(runs, ",")
+
+    def runs(listed: Column) -> Column:
+        starts = F.filter(listed, lambda p: ~F.array_contains(listed, p - 1))
+        ends = F.filter(listed, lambda p: ~F.array_contains(listed, p + 1))
+        joined = F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
+        return F.array_join(joined, ",")
+
+    return bind(pages, runs)
 
 
 def pages_read_count(pages_read: Column) -> Column:
@@ -77,6 +90,6 @@ def has_gap(pages_read: Column) -> Column:
         return F.when(low.isNull() | high.isNull(), None).when(high < low, none).otherwise(F.sequence(low, high))
 
     parts = F.transform(F.split(pages_read, ","), part_pages)
-    pages = F.array_distinct(F.flatten(parts))
-    gap = F.array_max(pages) - F.array_min(pages) + 1 > F.size(pages)
+    spread = lambda pages: F.array_max(pages) - F.array_min(pages) + 1 > F.size(pages)
+    gap = bind(F.array_distinct(F.flatten(parts)), spread)
     return F.coalesce(F.when(F.coalesce(pages_read, F.lit("")) != "", gap), F.lit(False))
