@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, planned_bytes
+from ..session import broadcast_limit, input_bytes, splits_skewed_joins
 
 HOT_KEY_ROWS = 1_000_000
 SALTS = 64
@@ -13,16 +13,21 @@ SALTS = 64
 
 def lookup_join(
     rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "left",
-    hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS, limit: int | None = None,
+    salted: bool | None = None, hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS,
 ) -> DataFrame:
     """Join `rows` to `lookup`, which holds at most one row per key.
 
-    A lookup whose planned size is below the session's broadcast threshold is left to Catalyst, which then needs no
-    shuffle. A larger one is joined by key plus salt: only keys with at least `hot_rows` rows are salted, and only
-    their lookup rows are copied. At most rows / hot_rows keys can be that hot, which bounds the broadcast list.
+    Catalyst broadcasts the lookup if it is below the session's threshold. Otherwise both sides shuffle on the key, and
+    adaptive execution splits a partition that a hot key has swollen: the lookup side is unique, so only `rows` can be
+    skewed, and an outer join allows that side to be split. Where the session has this switched off, the key is salted
+    here, at the price of one more pass over the key columns: keys with at least `hot_rows` rows spread over `salts`
+    tasks and only their lookup rows are copied. At most rows / hot_rows keys are that hot, which bounds the list that
+    is broadcast.
     """
-    limit = broadcast_limit(rows.sparkSession) if limit is None else limit
-    if planned_bytes(lookup) <= limit:
+    if salted is None:
+        spark = rows.sparkSession
+        salted = not splits_skewed_joins(spark) and input_bytes(lookup) > broadcast_limit(spark)
+    if not salted:
         return rows.join(lookup, keys, how)
     hot = (
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)

@@ -13,6 +13,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -65,11 +66,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for `df` (an upper bound for filters and aggregates)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of all tables `df` reads, as far as Catalyst knows it; no job runs and no plan is optimised."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def broadcast_limit(spark: SparkSession) -> int:
     """`spark.sql.autoBroadcastJoinThreshold` in bytes; -1 when broadcasting is off."""
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
+def splits_skewed_joins(spark: SparkSession) -> bool:
+    """True when adaptive execution may split an oversized join partition at run time."""
+    on = lambda key: spark.conf.get(key, "true").lower() == "true"
+    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
