@@ -58,6 +58,10 @@ def items(ctx, fetch_urls: bool = True):
     )
 
 
+def shared_items(ctx):
+    return ctx.shared("items", lambda: items(ctx))
+
+
 @query("j8_url_documents", "triaged", "bodies", check=f"""
 select t.row_idx, b.kind, b.error from triaged t left join bodies b on b.url = t.invoice_url
 where rule = 'scorer' and {_SUBSTANTIVE.format('invoice_url')}""")
@@ -91,7 +95,7 @@ def work_items_unfetched(ctx):
 @query("c5_short_references", "items",
        check="select row_idx, error, flags from items where error = 'reference_too_short'")
 def short_references(ctx):
-    return items(ctx).where("invoice.error = 'reference_too_short'").select(
+    return shared_items(ctx).where("invoice.error = 'reference_too_short'").select(
         "row_idx", "invoice.error", F.array_join("flags", ",").alias("flags")
     )
 
@@ -110,7 +114,7 @@ select count(*) filter (rule = 'reclass') as reclass_fired, count(*) filter (rul
  (select count(*) from items where status = 'ambiguous') as ambiguous, 0 as errors
 from triaged""")
 def preparation_counts(ctx):
-    return resolution.preparation_counts(triage.settled(prepared(ctx)), items(ctx))
+    return resolution.preparation_counts(triage.settled(prepared(ctx)), shared_items(ctx))
 
 
 @query("a23_lookup_rate", "items", check="""
@@ -118,4 +122,4 @@ select count(*) filter (status = 'resolved') as resolved, count(*) filter (statu
  concat('Local invoices: ', cast(count(*) filter (status = 'resolved') as varchar), ' of ', cast(count(*) filter (status is not null) as varchar), ' resolved') as banner
 from items""")
 def lookup_rate(ctx):
-    return resolution.lookup_rate(resolution.preparation_counts(triage.settled(prepared(ctx)), items(ctx)))
+    return resolution.lookup_rate(resolution.preparation_counts(triage.settled(prepared(ctx)), shared_items(ctx)))

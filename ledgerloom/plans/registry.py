@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialize
 from ..sources import fixtures
 
 Plan = Callable[["Context"], DataFrame]
@@ -26,6 +27,15 @@ class Context:
         return self._views[name]
 
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several queries of one session start from, written on first use."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in SHARED:
+            SHARED[key] = materialize(build(), name)
+        return SHARED[key]
+
+
+SHARED: dict[tuple[str, str, str], DataFrame] = {}
 QUERIES: dict[str, Plan] = {}
 CHECKS: dict[str, str] = {}
 # Shared parts of checking SQL: name -> (needed parts or views, text).

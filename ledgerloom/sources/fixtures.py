@@ -119,7 +119,7 @@ from events
 
 # What an external scorer sent back for batches of twelve ledger rows, with its typical faults.
 _view("scorer_rows", ("ledger",), """
-select batch_id, {explode}(case
+select batch_id, row_idx as source_row, {explode}(case
    when batch_id % 11 = 3 and row_idx % 12 = 5 then cast({array}() as {bigs})
    when batch_id % 11 = 5 and row_idx % 12 = 5 then {array}(row_idx, row_idx)
    when batch_id % 11 = 7 and row_idx % 12 = 5 then {array}(row_idx, row_idx + 100000000000)
@@ -138,6 +138,11 @@ from (select row_idx, cast(row_idx {div} 12 as bigint) as batch_id from ledger)
 """)
 SPARK["bigs"], CHECK["bigs"] = "array<bigint>", "bigint[]"
 
+_view("sweep_failures", ("ledger",), """
+select row_idx, case when row_idx % 13 = 0 then 'timeout' when row_idx % 13 = 5 then 'refused' end as reason
+from ledger where acctnum = 'MR58200000'
+""")
+
 # Deal names heard in the M&A account: mixed case, shared aliases, faulty list entries.
 _view("deal_mentions", ("ledger", "nation"), """
 select row_idx as ord, cast(row_idx {div} 20 as bigint) as batch_id,
