@@ -180,6 +180,95 @@ select o_orderkey,
 from orders
 """)
 
+# -- cell grids made from the ledger ------------------------------------------------------------------------------
+# (column number, header, value, type) of the canonical sheet; headers come in the usual order.
+_CANONICAL = (
+    (1, "PERIOD", "concat(period, '.0')", "'n'"),
+    (2, "REF", "concat(ref, '.0')", "'n'"),
+    (3, "SOURCE", "source", "'s'"),
+    (4, "ENTITYID", "concat(' ', entityid)", "'s'"),
+    (5, "ACCTNUM", "case when acctnum = 'MR58200000' and row_idx % 3 = 0 and {at} then '58200000.0' else acctnum end",
+     "case when acctnum = 'MR58200000' and row_idx % 3 = 0 and {at} then 'n' else 's' end"),
+    (6, "DEPARTMENT", "department", "'s'"),
+    (7, "AMT", "cast(amount as decimal(18,2))", "'n'"),
+    (8, "DESCRPN", "descrptn", "'s'"),
+    (10, "ENTRDATE", "case when row_idx % 4 = 0 then cast(36000 + row_idx % 100 as {text}) when row_idx % 4 = 1 then concat(entrdate, 'T00:00:00') else entrdate end",
+     "case row_idx % 4 when 0 then 'n' when 1 then 'd' else 's' end"),
+    (11, "OCURRCODE", "case when currency = 'UNKNOWN' then null else lower(currency) end", "'s'"),
+    (12, "ADDLDESC", "adddesc", "'s'"),
+    (14, "USERID", "userid", "'s'"),
+    (15, "Category", "category", "'s'"),
+    (16, "Quarter", "concat('Q', substr(period, 6, 1))", "'s'"),
+    (18, "Image URL - Hyperlink", "invoice_url", "'s'"),
+    (19, "Exchange Rate", "'1'", "'n'"),
+    (20, "USD Amount", "case when amount_was_blank then null when amount < 0 then concat('(', cast(cast(-amount as decimal(18,2)) as {text}), ')') else cast(cast(amount as decimal(18,2)) as {text}) end",
+     "case when amount < 0 then 's' else 'n' end"),
+)
+_TAB = (
+    (1, "Quarter", "concat('Q', substr(period, 6, 1))", "'s'"),
+    (2, "Period", "case when row_idx % 20 = 3 then null else concat(period, '.0') end", "'n'"),
+    (3, "Date", "entrdate", "'s'"),
+    (4, "Counterparty", "category", "'s'"),
+    (5, "Amount", "cast(amount as decimal(18,2))", "'n'"),
+    (6, "Invoice Link", "invoice_url", "'s'"),
+    (7, "Page", "'1'", "'n'"),
+    (8, "Type", "source", "'s'"),
+    (9, "USERID", "userid", "'s'"),
+    (10, "DESCRPN", "descrptn", "'s'"),
+    (11, "ADDLDESC", "adddesc", "'s'"),
+)
+_STRUCT = {
+    "array": "named_struct('col_no', {}, 'value', cast({} as string), 'vtype', {})",
+    "list_value": "{{'col_no': {}, 'value': cast({} as varchar), 'vtype': {}}}",
+}
+
+
+def _grid(columns, dialect: dict[str, str], at: str = "false") -> str:
+    one = lambda n, v, t: _STRUCT[dialect["array"]].format(n, v.format(**dialect, at=at), t.format(**dialect, at=at))
+    return f"{dialect['array']}({', '.join(one(n, v, t) for n, _, v, t in columns)})"
+
+
+def _heads(columns, dialect: dict[str, str]) -> str:
+    one = lambda n, h: _STRUCT[dialect["array"]].format(n, f"'{h}'", "'s'")
+    return f"{dialect['array']}({', '.join(one(n, h) for n, h, *_ in columns)})"
+
+
+for _dialect in (SPARK, CHECK):
+    _dialect["ledger_grid"] = _grid(_CANONICAL, _dialect)
+    _dialect["at_grid"] = _grid(_CANONICAL, _dialect, "true")
+    _dialect["ledger_heads"] = _heads(_CANONICAL, _dialect)
+    _dialect["tab_grid"] = _grid(_TAB, _dialect)
+    _dialect["tab_heads"] = _heads(_TAB, _dialect)
+    _dialect["decoy_heads"] = _heads([(1, "Foo"), (2, "Reference period"), (4, "Memo")], _dialect)
+
+# The ledger as a workbook sheet beside two decoys; every fiftieth row is blank.
+_view("ledger_cells", ("ledger",), """
+select 'ledger.xlsx' as file, 2 as sheet_no, 'G&A Records' as sheet, row_no, c.col_no as col_no, c.value as value, c.vtype as vtype
+from (select cast(row_idx as int) as row_no, {explode}({ledger_grid}) as c from ledger where row_idx % 50 <> 7
+ union all select 1, {explode}({ledger_heads})) g where c.value is not null
+union all select 'ledger.xlsx', 1, 'Notes', row_no, c.col_no, c.value, c.vtype from (select 1 as row_no, {explode}({decoy_heads}) as c) n
+union all select 'ledger.xlsx', 3, 'Totals', 2, 1, 'x', 's'
+""")
+
+# One tab per account with its name, id and a header row at 4 or 6, two tabs that are no accounts.
+_view("account_cells", ("ledger",), """
+select 'accounts.xlsb' as file, cast(1 as int) as sheet_no, sheet, row_no, c.col_no as col_no, c.value as value, c.vtype as vtype
+from (select concat('Tab ', acctnum) as sheet, cast(row_idx + 10 as int) as row_no, {explode}({tab_grid}) as c from ledger where acctnum <> 'MR58200000'
+ union all select concat('Tab ', acctnum), case when acctnum = 'MR70000002' then 6 else 4 end, {explode}({tab_heads})
+  from (select distinct acctnum from ledger where acctnum <> 'MR58200000' and acctnum <> 'MR70000003') h) g where c.value is not null
+union all select 'accounts.xlsb', 1, concat('Tab ', acctnum), 2, 1, acctnum, 's' from (select distinct acctnum from ledger where acctnum <> 'MR58200000') a
+union all select 'accounts.xlsb', 1, concat('Tab ', acctnum), 1, 1, concat(' Account ', acctnum), 's' from (select distinct acctnum from ledger where acctnum <> 'MR58200000' and acctnum <> 'MR70000001') b
+union all select 'accounts.xlsb', 2, 'Readme', 2, 1, 'see MR1', 's'
+union all select 'accounts.xlsb', 3, 'Empty', 1, 1, 'only one row', 's'
+""")
+
+# The flat sheet of transactions: all accounts mixed, some ids typed as numbers.
+_view("at_cells", ("ledger",), """
+select 'at.xlsx' as file, 2 as sheet_no, 'Acquisition & Transaction 2026' as sheet, row_no, c.col_no as col_no, c.value as value, c.vtype as vtype
+from (select cast(row_idx as int) as row_no, {explode}({at_grid}) as c from ledger union all select 1, {explode}({ledger_heads})) g where c.value is not null
+union all select 'at.xlsx', 1, 'Summary', row_no, c.col_no, c.value, c.vtype from (select 1 as row_no, {explode}({ledger_heads}) as c) n
+""")
+
 
 def view_sql(name: str, dialect: dict[str, str]) -> str:
     return VIEWS[name][1].strip().format(**dialect)
