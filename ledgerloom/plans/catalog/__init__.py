@@ -11,7 +11,5 @@ TOPICS = (
 
 
 def load() -> None:
-    import os
     for topic in TOPICS:
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), topic + ".py")): continue  # TEMP
         importlib.import_module(f"{__name__}.{topic}")

@@ -22,18 +22,20 @@ from (select batch_id, row_idx from classify_items) i full join (select batch_id
 part("one_answer", ("answers",), "select distinct on (batch_id, row_idx) * from answers")
 _SENT = "coalesce(kind in ('pdf', 'text'), false)"
 _READ_OK = "coalesce(m_read in ('read', 'unavailable', 'none_attached'), false)"
-part("classified", ("classify_items", "one_answer", "verdicts"), f"""
+def _classified(prefix: str, needs: tuple[str, ...], source: str, ok: str) -> None:
+    """Reconciled rows of `source`, which joins items `i` with answers `a`."""
+    part(f"{prefix}classified", needs, f"""
 select *, case when not unverified then m_class else 'human_review' end as label
 from (select *, contains(flags, 'invoice_unavailable') and deal <> 'none' and m_class <> 'human_review' as unverified,
   case when not ok then 'row_idx set mismatch (anti-conflation)'
    when not coalesce(m_class in ('recurring', 'non_recurring', 'human_review'), false) then concat('model returned invalid/missing classification: ', case when m_class is null then 'None' else concat('''', m_class, '''') end) end as failure
  from (select i.*, a.classification as m_class, a.invoice_read as m_read, a.invoice_date as m_date, a.reasoning as m_reasoning, a.evidence as m_evidence, a.missing_info as m_missing,
-   v.missing + v.extra + v.repeated = 0 as ok,
+   {ok} as ok,
    case when coalesce(trim(a.recognized_deal), '') = '' then 'none' else a.recognized_deal end as deal,
    case when a.basis in ('closegl_rule', 'invoice_content', 'deal_profile', 'row_text_routine', 'none') then a.basis else 'none' end as m_basis
-  from classify_items i left join one_answer a using (batch_id, row_idx) left join verdicts v using (batch_id)) x) y
+  from {source}) x) y
 """)
-part("classify_records", ("classified",), f"""
+    part(f"{prefix}classify_records", (f"{prefix}classified",), f"""
 select row_idx, acctnum, amount, currency, category, period, entrdate, descrptn, adddesc, invoice_url, 'classify' as phase, failure as error, had_invoice, invoice_accessed, kind, error as invoice_error,
  pages_read, reference, local_path, case when failure is null then 'claude-sonnet-4-6' end as model_version,
  case when failure is null then label else 'human_review' end as classification,
@@ -49,8 +51,15 @@ select row_idx, acctnum, amount, currency, category, period, entrdate, descrptn,
    case when {_READ_OK} and (({_SENT} and m_read <> 'read') or (not {_SENT} and m_read = 'read')) then 'invoice_read_mismatch' end,
    case when {_SENT} and contains(pages_read, ',') then 'invoice_truncated' end, case when deal <> 'none' then 'deal_profile_match' end,
    case when m_basis = 'deal_profile' and deal = 'none' then 'basis_mismatch' end) end as flags
-from classified
+from {prefix}classified
 """)
+
+
+_classified(
+    "", ("classify_items", "one_answer", "verdicts"),
+    "classify_items i left join one_answer a using (batch_id, row_idx) left join verdicts v using (batch_id)",
+    "v.missing + v.extra + v.repeated = 0",
+)
 part("sweep_records", ("items", "sweep_failures"), """
 select row_idx, acctnum, amount, currency, category, period, entrdate, descrptn, adddesc, invoice_url, 'deal_profile' as phase, cast(null as varchar) as error, had_invoice, invoice_accessed, kind, error as invoice_error,
  pages_read, reference, local_path, case when state = 'ok' then 'claude-sonnet-4-6' end as model_version,

@@ -117,14 +117,9 @@ select event_id as seq, {micros} as ts_us, user_id + 2 as row_idx,
 from events
 """)
 
-# What an external scorer sent back for batches of twelve ledger rows, with its typical faults.
-_view("scorer_rows", ("ledger",), """
-select batch_id, row_idx as source_row, {explode}(case
-   when batch_id % 11 = 3 and row_idx % 12 = 5 then cast({array}() as {bigs})
-   when batch_id % 11 = 5 and row_idx % 12 = 5 then {array}(row_idx, row_idx)
-   when batch_id % 11 = 7 and row_idx % 12 = 5 then {array}(row_idx, row_idx + 100000000000)
-   else {array}(row_idx) end) as row_idx,
- case row_idx % 7 when 0 then 'recurring' when 1 then 'non_recurring' when 2 then 'human_review' when 3 then 'recurring'
+# One scorer answer per row, valid and invalid values mixed.
+ANSWER_SQL = """
+case row_idx % 7 when 0 then 'recurring' when 1 then 'non_recurring' when 2 then 'human_review' when 3 then 'recurring'
   when 4 then 'reclass' when 5 then 'non_recurring' else null end as classification,
  case row_idx % 9 when 0 then 'invoice_content' when 1 then 'deal_profile' when 2 then 'deal_profile' when 3 then 'guess'
   when 4 then null when 5 then 'none' else 'row_text_routine' end as basis,
@@ -134,6 +129,24 @@ select batch_id, row_idx as source_row, {explode}(case
  case when row_idx % 2 = 0 then concat('because ', cast(row_idx as {text})) else null end as reasoning,
  case when row_idx % 6 = 0 then null else '[row] text' end as evidence,
  case when row_idx % 14 = 2 then 'which deal?' else null end as missing_info
+""".strip()
+
+
+def answer_columns(dialect: dict[str, str]) -> list[str]:
+    """The answer expressions one by one."""
+    return [line.strip().rstrip(",") for line in ANSWER_SQL.format(**dialect).split(",\n")]
+
+
+SPARK["answers"], CHECK["answers"] = ANSWER_SQL.format(**SPARK), ANSWER_SQL.format(**CHECK)
+
+# What an external scorer sent back for batches of twelve ledger rows, with its typical faults.
+_view("scorer_rows", ("ledger",), """
+select batch_id, row_idx as source_row, {explode}(case
+   when batch_id % 11 = 3 and row_idx % 12 = 5 then cast({array}() as {bigs})
+   when batch_id % 11 = 5 and row_idx % 12 = 5 then {array}(row_idx, row_idx)
+   when batch_id % 11 = 7 and row_idx % 12 = 5 then {array}(row_idx, row_idx + 100000000000)
+   else {array}(row_idx) end) as row_idx,
+ {answers}
 from (select row_idx, cast(row_idx {div} 12 as bigint) as batch_id from ledger) r
 """)
 SPARK["bigs"], CHECK["bigs"] = "array<bigint>", "bigint[]"
