@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .pages import bind, format_pages, select_pages
+from .binding import bind
+from .pages import format_pages, select_pages
 from .tokens import text_tokens
 
 INVOICE_TYPE = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .binding import bind
 from .cleaning import WHITESPACE
 
 _PREFIX_WITH_REST = r"(?is)^.*?\bINV[\s#\-.:]*([A-Z0-9][A-Z0-9\-/]{3,})(.*)$"
@@ -42,20 +43,23 @@ def _words(text: Column) -> Column:
 
 def standalone_word(text: Column) -> Column:
     """struct(token, at_end) of the first code-like word next to an alphabetic word, else null."""
-    words = _words(text)
     core = lambda w: F.btrim(w, F.lit(vocab.WORD_PUNCTUATION))
-    neighbour = lambda i: F.coalesce(core(F.get(words, i)), F.lit(""))
 
-    def candidate(w: Column, i: Column) -> Column:
-        token = core(w)
-        beside_word = F.when(i > 0, neighbour(i - 1)).otherwise("").rlike(vocab.ALPHA_WORD_PATTERN) | neighbour(
-            i + 1
-        ).rlike(vocab.ALPHA_WORD_PATTERN)
-        fits = token.rlike(vocab.STANDALONE_PATTERN) & ~is_rejected_token(token) & beside_word
-        last = (i == F.size(words) - 1) & (token == w) & text.endswith(w)
-        return F.when(fits, F.struct(token.alias("token"), last.alias("at_end")))
+    def search(words: Column) -> Column:
+        neighbour = lambda i: F.coalesce(core(F.get(words, i)), F.lit(""))
 
-    return F.get(F.filter(F.transform(words, candidate), lambda s: s.isNotNull()), 0)
+        def candidate(w: Column, i: Column) -> Column:
+            token = core(w)
+            beside_word = F.when(i > 0, neighbour(i - 1)).otherwise("").rlike(vocab.ALPHA_WORD_PATTERN) | neighbour(
+                i + 1
+            ).rlike(vocab.ALPHA_WORD_PATTERN)
+            fits = token.rlike(vocab.STANDALONE_PATTERN) & ~is_rejected_token(token) & beside_word
+            last = (i == F.size(words) - 1) & (token == w) & text.endswith(w)
+            return F.when(fits, F.struct(token.alias("token"), last.alias("at_end")))
+
+        return F.get(F.filter(F.transform(words, candidate), lambda s: s.isNotNull()), 0)
+
+    return bind(_words(text), search)
 
 
 def _prefix_reaches_end(text: Column) -> Column:
@@ -64,22 +68,28 @@ def _prefix_reaches_end(text: Column) -> Column:
 
 def scan_text(text: Column) -> Column:
     """struct(token, at_end): prefixed token, else leading token, else standalone word."""
-    prefixed, leading = inv_prefix_token(text), leading_token(text)
-    return (
-        F.when(prefixed.isNotNull(), F.struct(prefixed.alias("token"), _prefix_reaches_end(text).alias("at_end")))
-        .when(leading.isNotNull(), F.struct(leading.alias("token"), F.lit(False).alias("at_end")))
-        .otherwise(standalone_word(text))
-    )
+
+    def choose(found: Column) -> Column:
+        prefixed, leading = found["prefixed"], found["leading"]
+        cut = (F.length(text) >= vocab.TRUNCATION_LENGTH) & _prefix_reaches_end(text)
+        return (
+            F.when(prefixed.isNotNull(), F.struct(prefixed.alias("token"), cut.alias("at_end")))
+            .when(leading.isNotNull(), F.struct(leading.alias("token"), F.lit(False).alias("at_end")))
+            .otherwise(standalone_word(text))
+        )
+
+    return bind(F.struct(inv_prefix_token(text).alias("prefixed"), leading_token(text).alias("leading")), choose)
 
 
 def mine_invoice_key(descrptn: Column, adddesc: Column) -> Column:
     """struct(key, truncated). A key from `descrptn` is truncated when it ends a field of full length."""
-    first, second = scan_text(descrptn), scan_text(adddesc)
-    cut = F.coalesce(first["at_end"], F.lit(False)) & (F.length(descrptn) >= vocab.TRUNCATION_LENGTH)
-    return F.struct(
-        normalize_key(F.coalesce(first["token"], second["token"])).alias("key"),
-        F.coalesce(cut, F.lit(False)).alias("truncated"),
-    )
+
+    def from_first(first: Column) -> Column:
+        cut = F.coalesce(first["at_end"], F.lit(False)) & (F.length(descrptn) >= vocab.TRUNCATION_LENGTH)
+        token = F.coalesce(first["token"], scan_text(adddesc)["token"])
+        return F.struct(normalize_key(token).alias("key"), F.coalesce(cut, F.lit(False)).alias("truncated"))
+
+    return bind(scan_text(descrptn), from_first)
 
 
 def is_substantive_reference(c: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .binding import bind
 
 _BOUND = r"^\s*[+-]?[0-9]{1,9}\s*$"
 
@@ -35,11 +34,6 @@ def page_window(page_count: Column, hint: Column) -> Column:
     )
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with `value` worked out once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def select_pages(page_count: Column, hint: Column) -> Column:
     """Page numbers to read: a window of up to 20 pages in full, a longer one by its first and last two."""
 

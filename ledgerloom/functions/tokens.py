@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .binding import bind
 from .pages import pages_read_count
 
 _TEXT_FIELDS = (
@@ -13,17 +14,23 @@ _TEXT_FIELDS = (
     "entrdate", "userid", "invoice_url",
 )
 _ALL_FIELDS = ("row_idx", "amount", "amount_was_blank", *_TEXT_FIELDS)
+_NEEDS_ESCAPE = r'[^ !#-\[\]-~\x7f]'
 _TWO_CHAR_ESCAPES = '"\\\n\r\t\b\f'
 
 
-def json_text_length(c: Column) -> Column:
-    """Length of a string as an ASCII JSON literal (`null` counts 4)."""
+def _extra_chars(c: Column) -> Column:
+    """What escaping adds to the length of a string as an ASCII JSON literal."""
     escapes = F.length(c) - F.length(F.translate(c, _TWO_CHAR_ESCAPES, ""))
+    controls = F.length(F.regexp_replace(c, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
     wide = F.length(F.regexp_replace(c, r"[\x00-\x7f]", ""))
     astral = F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10ffff}]", ""))
-    controls = F.length(F.regexp_replace(c, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
-    beyond_ascii = F.when(F.octet_length(c) > F.length(c), wide * 5 + astral * 6).otherwise(0)
-    return F.when(c.isNull(), 4).otherwise(F.length(c) + 2 + escapes + controls * 5 + beyond_ascii)
+    return escapes + controls * 5 + wide * 5 + astral * 6
+
+
+def json_text_length(c: Column) -> Column:
+    """Length of a string as an ASCII JSON literal (`null` counts 4). Plain text takes one look."""
+    extra = F.when(c.rlike(_NEEDS_ESCAPE), _extra_chars(c)).otherwise(0)
+    return F.when(c.isNull(), 4).otherwise(F.length(c) + 2 + extra)
 
 
 def number_text(c: Column) -> Column:
@@ -43,8 +50,11 @@ def estimate_row_tokens(row: dict[str, Column] | None = None) -> Column:
         + F.length(number_text(field["amount"]))
         + F.when(field["amount_was_blank"], 4).otherwise(5)
     )
+    # Escaping adds per character, so it can be counted over all texts together.
+    texts = F.concat_ws("", *[field[name] for name in _TEXT_FIELDS])
+    length = length + bind(texts, lambda t: F.length(t) + F.when(t.rlike(_NEEDS_ESCAPE), _extra_chars(t)).otherwise(0))
     for name in _TEXT_FIELDS:
-        length = length + json_text_length(field[name])
+        length = length + F.when(field[name].isNull(), 4).otherwise(2)
     return (F.floor(length / vocab.CHARS_PER_TOKEN) + vocab.ROW_OVERHEAD_TOKENS).cast("bigint")
 
 

@@ -1,8 +1,8 @@
 """Finding the file behind a mined invoice key.
 
-Candidates are never paired up. Every file announces the keys it can answer to (its stem, each prefix of the stem, its
-normalised stem); per key only a count and one file are kept. A file name has at most 255 characters, so a file makes
-at most 256 announcements, and counting absorbs prefixes that a large share of all files have in common.
+Candidates are never paired up. Every file announces the keys it can answer to (prefixes of its stem in the lengths that
+keys have, its normalised stem); per key only counts and one file number are kept. A file name has at most 255
+characters, which bounds the announcements, and counting absorbs prefixes that a large share of all files share.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip
 from ..functions.mining import normalize_key
+from ..session import materialize
 from .joins import lookup_join
 
+MAX_NAME = 255
+
 
 def lookup_index(lookup: DataFrame) -> DataFrame:
     """Lookup rows by normalised invoice key, and by normalised vendor number where that differs."""
@@ -52,34 +55,49 @@ def match_lookup_rows(files: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select("stem", match.alias("row")).select("stem", "row.pages", "row.gl_entityids")
 
 
-def _prefixes(stem: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(stem)), lambda n: F.substring(stem, F.lit(1), n))
+def numbered_files(files: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Files with their lookup rows and a number each, written once so that the numbers hold."""
+    matched = match_lookup_rows(files, lookup_index(lookup))
+    return materialize(matched.withColumn("file_no", F.monotonically_increasing_id()), "invoice-files")
+
+
+def key_lengths(keys: DataFrame) -> list[int]:
+    """Lengths of the keys looked for: at most 255 small numbers, since no file name is longer."""
+    lengths = keys.select(F.length("key").alias("n")).where(F.col("n").between(1, MAX_NAME)).distinct()
+    return sorted(r.n for r in lengths.collect())
+
 
+def _prefixes(stem: Column, lengths: list[int]) -> Column:
+    known = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(stem))
+    return F.transform(known, lambda n: F.substring(stem, F.lit(1), n))
 
-def file_answers(matched: DataFrame) -> DataFrame:
-    """Per key: the file of exactly that stem, how many stems start with it, how many normalise to it."""
-    file = F.struct("stem", "pages")
+
+def file_answers(files: DataFrame, lengths: list[int]) -> DataFrame:
+    """Per key: the file of exactly that stem, how many stems start with it, how many normalise to it.
+
+    `prefix_no` and `norm_no` are the file where the count is one. Only numbers are aggregated.
+    """
+    say = lambda k, normalised: F.struct(k.alias("key"), F.lit(normalised).alias("normalised"))
     said = F.concat(
-        F.transform(_prefixes(F.col("stem")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("normalised"))),
-        F.array(F.struct(normalize_key(F.col("stem")).alias("key"), F.lit(True).alias("normalised"))),
+        F.transform(_prefixes(F.col("stem"), lengths), lambda k: say(k, False)),
+        F.array(say(normalize_key(F.col("stem")), True)),
     )
-    rows = matched.select(F.explode(said).alias("said"), file.alias("file")).select("said.*", "file").where("key <> ''")
-    by_norm, by_stem = F.col("normalised"), ~F.col("normalised")
-    exact = by_stem & (F.col("key") == F.col("file.stem"))
+    rows = files.select(F.explode(said).alias("said"), "stem", "file_no").select("said.*", "stem", "file_no").where("key <> ''")
+    by_norm, by_stem, number = F.col("normalised"), ~F.col("normalised"), F.col("file_no")
     return rows.groupBy("key").agg(
-        F.max(F.when(exact, F.col("file"))).alias("exact"),
-        F.count_if(by_stem).alias("n_prefix"), F.min(F.when(by_stem, F.col("file"))).alias("prefix"),
-        F.count_if(by_norm).alias("n_norm"), F.min(F.when(by_norm, F.col("file"))).alias("norm"),
+        F.max(F.when(by_stem & (F.col("key") == F.col("stem")), number)).alias("exact_no"),
+        F.count_if(by_stem).alias("n_prefix"), F.max(F.when(by_stem, number)).alias("prefix_no"),
+        F.count_if(by_norm).alias("n_norm"), F.max(F.when(by_norm, number)).alias("norm_no"),
     )
 
 
-def entity_answers(matched: DataFrame) -> DataFrame:
-    """Per key and entity: how many files start with the key and list the entity."""
+def entity_answers(files: DataFrame, lengths: list[int]) -> DataFrame:
+    """Per key and entity: how many files start with the key and list the entity, and the file if it is one."""
     listed = F.filter(F.transform(F.split("gl_entityids", "[;,]"), strip), lambda e: e != "")
-    with_entity = matched.select("stem", "pages", F.explode(F.array_distinct(listed)).alias("entityid"))
+    with_entity = files.select("stem", "file_no", F.explode(F.array_distinct(listed)).alias("entityid"))
     return with_entity.select(
-        F.explode(_prefixes(F.col("stem"))).alias("key"), "entityid", F.struct("stem", "pages").alias("file")
-    ).groupBy("key", "entityid").agg(F.count(F.lit(1)).alias("n_entity"), F.min("file").alias("by_entity"))
+        F.explode(_prefixes(F.col("stem"), lengths)).alias("key"), "entityid", "file_no"
+    ).groupBy("key", "entityid").agg(F.count(F.lit(1)).alias("n_entity"), F.max("file_no").alias("entity_no"))
 
 
 def resolve_keys(wanted: DataFrame, files: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -88,19 +106,23 @@ def resolve_keys(wanted: DataFrame, files: DataFrame, lookup: DataFrame) -> Data
     Exact stem, else stems starting with the key, else the normalised stem. Several prefix hits are settled by the
     entity when exactly one candidate lists it. An ambiguous key is reported, never guessed.
     """
-    pairs = wanted.select("key", F.coalesce(strip(F.col("entityid")), F.lit("")).alias("entityid")).distinct()
-    matched = match_lookup_rows(files, lookup_index(lookup))
-    pairs = lookup_join(pairs, file_answers(matched), ["key"], "entityid")
-    pairs = lookup_join(pairs, entity_answers(matched), ["key", "entityid"], "entityid")
+    pairs = materialize(
+        wanted.select("key", F.coalesce(strip(F.col("entityid")), F.lit("")).alias("entityid")).distinct(), "invoice-keys"
+    )
+    known, lengths = numbered_files(files, lookup), key_lengths(pairs)
+    pairs = lookup_join(pairs, file_answers(known, lengths), ["key"], "entityid")
+    pairs = lookup_join(pairs, entity_answers(known, lengths), ["key", "entityid"], "entityid")
     hit = (
-        F.when(F.col("exact").isNotNull(), F.col("exact"))
-        .when(F.col("n_prefix") == 1, F.col("prefix"))
-        .when((F.col("n_prefix") > 1) & (F.col("n_entity") == 1), F.col("by_entity"))
-        .when((F.col("n_prefix") == 0) & (F.col("n_norm") == 1), F.col("norm"))
+        F.when(F.col("exact_no").isNotNull(), F.col("exact_no"))
+        .when(F.col("n_prefix") == 1, F.col("prefix_no"))
+        .when((F.col("n_prefix") > 1) & (F.col("n_entity") == 1), F.col("entity_no"))
+        .when((F.col("n_prefix") == 0) & (F.col("n_norm") == 1), F.col("norm_no"))
     )
     several = (F.col("n_prefix") > 1) | (F.col("n_norm") > 1)
     status = F.when(hit.isNotNull(), "resolved").when(several, "ambiguous").otherwise("no_match")
-    return pairs.select("key", "entityid", status.alias("status"), hit["stem"].alias("stem"), hit["pages"].alias("hint"))
+    found = pairs.select("key", "entityid", status.alias("status"), hit.alias("file_no"))
+    named = known.select("file_no", "stem", F.col("pages").alias("hint"))
+    return lookup_join(found, named, ["file_no"], "key").select("key", "entityid", "status", "stem", "hint")
 
 
 def resolve_rows(rows: DataFrame, files: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -11,7 +11,9 @@ from .joins import lookup_join
 from .ordering import global_positions
 from .scorecard import money
 
-VENDOR = F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit(vocab.UNCATEGORIZED))
+
+def vendor() -> Column:
+    return F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit(vocab.UNCATEGORIZED))
 
 
 def flagged(rows: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def excluded_count(rows: DataFrame) -> DataFrame:
 
 def vendor_exposure(review: DataFrame) -> DataFrame:
     """Total amount and first row per vendor, over every review row."""
-    return review.groupBy(VENDOR.alias("vendor")).agg(
+    return review.groupBy(vendor().alias("vendor")).agg(
         F.coalesce(money(), F.lit(0)).alias("exposure"), F.min("row_idx").alias("first_row")
     )
 
@@ -53,7 +55,7 @@ def review_queue(review: DataFrame) -> DataFrame:
     the rows of one large vendor are spread over tasks.
     """
     keyed = lookup_join(
-        review.withColumn("vendor", VENDOR), vendor_ranks(review).select("vendor", "vendor_rank", "band", "exposure"),
+        review.withColumn("vendor", vendor()), vendor_ranks(review).select("vendor", "vendor_rank", "band", "exposure"),
         ["vendor"], "row_idx",
     )
     return global_positions(

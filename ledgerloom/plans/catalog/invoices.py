@@ -56,34 +56,43 @@ def file_index(ctx):
 
 
 def _keys(ctx):
-    return triage.with_mined_key(ctx.view("ledger")).where("key is not null")
+    return ctx.shared("mined-keys", lambda: triage.with_mined_key(ctx.view("ledger")).where("key is not null").select("key", "entityid").distinct())
+
+
+def _files(ctx):
+    return ctx.shared("numbered-files", lambda: invoices.numbered_files(ctx.view("invoice_files"), ctx.view("invoice_lookup")))
+
+
+def _answers(ctx):
+    keys = _keys(ctx).select("key").distinct()
+    return keys.join(invoices.file_answers(_files(ctx), invoices.key_lengths(keys)), "key")
+
+
+def _with_stem(ctx, rows, number: str):
+    """The stem of the file a key has to itself."""
+    return rows.join(_files(ctx).select(F.col("file_no").alias(number), "stem", "pages"), number, "left")
 
 
 @query("j2_exact_stem", "key_pairs", "matched_files", check="""
 select distinct key, stem, pages from key_pairs join matched_files on stem = key""")
 def exact(ctx):
-    answers = invoices.file_answers(matched(ctx)).where("exact is not null")
-    return _keys(ctx).select("key").distinct().join(answers, "key").select("key", "exact.stem", "exact.pages")
+    return _with_stem(ctx, _answers(ctx).where("exact_no is not null"), "exact_no").select("key", "stem", "pages")
 
 
 @query("j3_prefix_stems", "candidates", "matched_files", check="""
-select key, count(distinct stem) as n, min(stem) as first_stem from candidates
+select key, count(distinct stem) as n, case when count(distinct stem) = 1 then min(stem) end as stem from candidates
 where key not in (select stem from matched_files) group by key""")
 def prefix(ctx):
-    answers = invoices.file_answers(matched(ctx)).where("exact is null and n_prefix > 0")
-    return _keys(ctx).select("key").distinct().join(answers, "key").select(
-        "key", F.col("n_prefix").alias("n"), F.col("prefix.stem").alias("first_stem")
-    )
+    found = _answers(ctx).where("exact_no is null and n_prefix > 0").withColumn("only_no", F.expr("if(n_prefix = 1, prefix_no, null)"))
+    return _with_stem(ctx, found, "only_no").select("key", F.col("n_prefix").alias("n"), "stem")
 
 
 @query("j4_normalised_stem", "key_pairs", "candidates", "matched_files", check=f"""
-select key, count(*) as n, min(stem) as first_stem
+select key, count(*) as n, case when count(*) = 1 then min(stem) end as stem
 from (select distinct key from key_pairs where key not in (select key from candidates)) k join matched_files on {_NORM.format('stem')} = key group by key""")
 def fallback(ctx):
-    answers = invoices.file_answers(matched(ctx)).where("n_prefix = 0 and n_norm > 0")
-    return _keys(ctx).select("key").distinct().join(answers, "key").select(
-        "key", F.col("n_norm").alias("n"), F.col("norm.stem").alias("first_stem")
-    )
+    found = _answers(ctx).where("n_prefix = 0 and n_norm > 0").withColumn("only_no", F.expr("if(n_norm = 1, norm_no, null)"))
+    return _with_stem(ctx, found, "only_no").select("key", F.col("n_norm").alias("n"), "stem")
 
 
 @query("j5_lookup_row", "matched_files", check="select stem, pages, gl_entityids from matched_files")
@@ -92,12 +101,12 @@ def lookup_row(ctx):
 
 
 @query("j6_entity_tie_break", "candidates", check="""
-select key, entityid, count(*) as n, min(stem) as stem from candidates where listed group by all""")
+select key, entityid, count(*) as n, case when count(*) = 1 then min(stem) end as stem from candidates where listed group by all""")
 def tie_break(ctx):
-    pairs = _keys(ctx).select("key", "entityid").distinct()
-    return pairs.join(invoices.entity_answers(matched(ctx)), ["key", "entityid"]).select(
-        "key", "entityid", F.col("n_entity").alias("n"), F.col("by_entity.stem").alias("stem")
-    )
+    pairs = _keys(ctx)
+    listed = pairs.join(invoices.entity_answers(_files(ctx), invoices.key_lengths(pairs)), ["key", "entityid"])
+    found = listed.withColumn("only_no", F.expr("if(n_entity = 1, entity_no, null)"))
+    return _with_stem(ctx, found, "only_no").select("key", "entityid", F.col("n_entity").alias("n"), "stem")
 
 
 @query("j7_resolution", "mined", "resolved", "matched_files", check="""
