@@ -72,6 +72,19 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+SPLIT_BYTES = 4 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of a few megabytes out to all cores.
+
+    Such a table usually is one file with one row group, which a single task would read and process to the end. A table
+    that gives every core a split of its own is left alone, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if SPLIT_BYTES // 64 < input_bytes(df) < cores * SPLIT_BYTES else df
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """`spark.sql.autoBroadcastJoinThreshold` in bytes; -1 when broadcasting is off."""
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

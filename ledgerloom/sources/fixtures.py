@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread_small
+
 SPARK = {
     "ym": "date_format(o_orderdate, 'yyyyMM')", "div": "div", "explode": "explode", "array": "array",
     "flt": "double", "bytes": "octet_length", "sha": "sha2(stem, 256)",
@@ -295,7 +297,7 @@ def base_tables(name: str) -> set[str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def read_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
