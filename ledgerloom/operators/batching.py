@@ -10,6 +10,7 @@ began here?" Chaining these short answers gives every chunk its true entry point
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -101,14 +102,14 @@ def size_batches(
         F.when(leading, F.array(F.col("chunk"), F.col("chunk") - 1)).otherwise(F.array("chunk"))
     ).alias("chunk"))
 
-    def answer(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def answer(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         return _chunk_answer(frame, int(key[0]), chunk_rows, reach, target)
 
     answers = materialize(
         seen.groupBy("chunk").applyInPandas(answer, "chunk long, exits array<long>, begun array<long>"), "chunk-answers"
     ).withColumn("span", F.floor(F.col("chunk") / fan_in).cast("bigint"))
 
-    def summarise(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         """The answer of a whole span of chunks, for each entry row."""
         width = len(frame.sort_values("chunk")["exits"].iloc[0])
         exits, begun = [], []
@@ -120,22 +121,21 @@ def size_batches(
         return pd.DataFrame({"chunk": [int(key[0])], "exits": [exits], "begun": [begun]})
 
     def enter_spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True)
-        if len(frame):
-            yield pd.DataFrame(_chain(frame, 0, 0), columns=["span", "span_entry", "span_number"])
+        if parts := list(frames):
+            yield pd.DataFrame(_chain(pd.concat(parts), 0, 0), columns=["span", "span_entry", "span_number"])
 
     # One row per span: rows / (fan_in * chunk_rows) of them.
     spans = answers.groupBy("span").applyInPandas(summarise, "chunk long, exits array<long>, begun array<long>")
     entered = spans.coalesce(1).mapInPandas(enter_spans, "span long, span_entry long, span_number long")
 
-    def enter_chunks(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def enter_chunks(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         rows = _chain(frame, int(first["span_entry"]), int(first["span_number"]))
         return pd.DataFrame(rows, columns=["chunk", "entry", "number"])
 
     entries = answers.join(entered, "span").groupBy("span").applyInPandas(enter_chunks, "chunk long, entry long, number long")
 
-    def mark(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def mark(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
         starts = np.zeros(len(frame), dtype=np.int64)
         nxt = _next_starts(frame["cost"].to_numpy(), frame["solo"].to_numpy(dtype=bool), target)
