@@ -54,11 +54,13 @@ def pdf_invoice(
 
 
 def looks_like_login(body: Column) -> Column:
-    lowered = F.lower(body)
-    test = F.lit(False)
-    for marker in vocab.LOGIN_MARKERS:
-        test = test | lowered.contains(marker)
-    return test
+    def marked(lowered: Column) -> Column:
+        test = F.lit(False)
+        for marker in vocab.LOGIN_MARKERS:
+            test = test | lowered.contains(marker)
+        return test
+
+    return bind(F.lower(body), marked)
 
 
 def classify_body(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.cleaning import strip
 from ..functions.periods import quarter_of
-from .joins import lookup_join
+from .joins import beside, lookup_join
 from .ordering import global_positions
 
 LIST_FIELDS = ("aliases", "matter_numbers", "invoice_numbers", "properties", "entityids", "advisors_seen")
@@ -127,7 +127,7 @@ def sweep_stats(items: DataFrame, failures: DataFrame, mentions: DataFrame) -> D
         F.count(F.lit(1)).alias("batches_total"), F.count_if(F.col("n") == F.col("bad")).alias("batches_failed"),
     )
     entries = deal_names(valid_mentions(mentions)).agg(F.count(F.lit(1)).alias("entries"))
-    return sums.join(entries)  # one row each
+    return beside(sums, entries)
 
 
 def evidence_text(evidence: DataFrame) -> DataFrame:

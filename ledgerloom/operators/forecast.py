@@ -10,6 +10,7 @@ from ..functions.documents import is_readable
 from ..functions.tokens import cost_micros, low_end_tokens
 from ..session import materialize
 from .batching import size_batches
+from .joins import beside
 
 
 def batch_target(rate_limits: dict | None) -> int:
@@ -63,8 +64,7 @@ def _forecast(
         total("low", F.col("readable")).alias("low_inv"), total("est_input_tokens", F.col("readable")).alias("high_inv"),
     )
     count = size_batches(narrow, target).agg((F.coalesce(F.max("batch_id"), F.lit(-1)) + 1).alias("est_batches"))
-    # Two single aggregate rows side by side.
-    base = sums.join(count)
+    base = beside(sums, count)
     rows, inv, batches = F.col("row_count"), F.col("rows_with_invoice"), F.col("est_batches")
     share = F.when(rows == 0, 0.0).otherwise(inv / rows)
     if per_row_output is None:

@@ -45,3 +45,13 @@ def lookup_join(
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Frames of exactly one row each, side by side: the others become scalar subqueries of the first."""
+    out = first
+    for number, other in enumerate(others):
+        held = f"_row{number}"
+        scalar = other.select(F.struct(*other.columns)).scalar().alias(held)
+        out = out.select("*", scalar).select(*out.columns, f"{held}.*")
+    return out

@@ -11,7 +11,7 @@ from ..functions.mining import is_substantive_reference
 from ..functions.reporting import row_fingerprint
 from ..functions.tokens import estimate_row_tokens
 from .invoices import resolve_keys
-from .joins import lookup_join
+from .joins import beside, lookup_join
 
 NOT_FETCHED = "fetch_failed: no response body"
 
@@ -122,8 +122,7 @@ def preparation_counts(settled: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if((ref == "key") & (F.col("status") == "no_match")).alias("local_no_match"),
         F.count_if((ref == "key") & (F.col("status") == "ambiguous")).alias("ambiguous"),
     )
-    # Both sides are single aggregate rows.
-    return from_settled.join(from_items).select(
+    return beside(from_settled, from_items).select(
         "reclass_fired", "closegl_fired", "closegl_guard_trips", "negatives_skipped", "to_classify",
         (F.col("settled_had") + F.col("item_had")).alias("had_invoice_yes"), "invoice_accessed_yes",
         "invoice_unavailable", "invoice_read_failed", "url_fetched_ok", "url_fetch_failed", "local_resolved",

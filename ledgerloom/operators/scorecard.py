@@ -9,6 +9,7 @@ from .. import vocab
 from ..functions.mining import mine_invoice_key
 from ..functions.cleaning import strip
 from ..functions.tokens import cost_micros
+from .joins import beside
 
 def _count() -> Column:
     return F.count(F.lit(1))
@@ -58,8 +59,7 @@ def amounts(records: DataFrame) -> DataFrame:
 def coverage(records: DataFrame, total_rows_in: DataFrame) -> DataFrame:
     """`total_rows_in`: one row, one column of that name."""
     counted = records.agg(_count().alias("records"), F.count_distinct("row_idx").alias("rows"))
-    # Two single aggregate rows.
-    return total_rows_in.join(counted).select(
+    return beside(total_rows_in, counted).select(
         "total_rows_in", "records", (F.col("total_rows_in") - F.col("rows")).alias("rows_with_no_record")
     )
 
@@ -153,7 +153,5 @@ def run_summary(records: DataFrame, total_rows_in: DataFrame) -> DataFrame:
         listed(invoice_tallies(records), "invoice"), single(deal_profile_stats(records), "deal_profile"),
         listed(flag_counts(records), "flag_counts"), single(usage_totals(records), "usage"),
     ]
-    document = parts[0]
-    for piece in parts[1:]:
-        document = document.join(piece)  # one row each
+    document = beside(*parts)
     return document.select(F.to_json(F.struct(*document.columns)).alias("summary"))
