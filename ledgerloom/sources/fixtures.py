@@ -15,7 +15,10 @@ from ..session import spread_small
 SPARK = {
     "ym": "date_format(o_orderdate, 'yyyyMM')", "div": "div", "explode": "explode", "array": "array",
     "flt": "double", "bytes": "octet_length", "sha": "sha2(stem, 256)",
-    "micros": "unix_micros(cast(ts as timestamp))", "text": "string",
+    # Wall-clock microseconds, whatever the session's time zone: `ts` carries none.
+    "micros": "(unix_date(cast(ts as date)) * 86400000000 + (hour(ts) * 3600 + minute(ts) * 60) * 1000000L"
+              " + cast(extract(second from ts) * 1000000 as bigint))",
+    "text": "string",
 }
 CHECK = {
     "ym": "strftime(o_orderdate, '%Y%m')", "div": "//", "explode": "unnest", "array": "list_value",
