@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import reshard
+from . import decontaminate, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,44 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_decontaminate", sql="""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  from documents
+), i as (
+  select item_id::varchar as item, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  from benchmark where text is not null and item_id is not null
+), p as (
+  select distinct item, least(10, len(w)) as m, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') as win
+  from i, unnest(range(1, greatest(2, len(w) - 8))) as r(k) where len(w) > 0
+), lengths as (
+  select distinct m from p
+), o as (
+  select doc_id, k, m, array_to_string(w[k : k + m - 1], ' ') as win
+  from d, lengths, unnest(range(1, len(w) - m + 2)) as r(k)
+), hits as (
+  select doc_id, k, m, item from o join p using (m, win)
+), words_hit as (
+  select doc_id, count(distinct k + j) as n_hit from hits, unnest(range(0, m)) as r(j) group by doc_id
+), found as (
+  select doc_id, count(distinct item) as n_items,
+    sha256(string_agg(distinct item, ',' order by item)) as items_sha256
+  from hits group by doc_id
+)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join words_hit using (doc_id) left join found using (doc_id)
+""")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(documents, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
