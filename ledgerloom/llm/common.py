@@ -16,7 +16,10 @@ BROADCAST_ROWS = 1_000_000
 #: Distinct words a worker remembers the hashes of before it starts afresh.
 REMEMBERED_WORDS = 400_000
 
-# Bytes that become blanks before a text is cut at blanks.
+#: Rows a worker holds the texts and results of at a time.
+BATCH_ROWS = 1024
+
+# A-Z lower-cased, all other bytes as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -35,10 +38,12 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            new = work(batch.column(len(names) - 1).to_pylist())
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(new, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                new = work(batch.column(len(names) - 1).to_pylist())
+                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(new, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
     return kept.select("*", df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
