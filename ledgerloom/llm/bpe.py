@@ -12,7 +12,6 @@ import json
 import re
 import sys
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import annotate
 
 #: Distinct stretches of text a worker remembers the ids of before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 FIELDS = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType()),
@@ -71,29 +70,33 @@ class Codec:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = {c: bytes([b]) for b, c in enumerate(_byte_letters())}
         self.bytes_of = {i: b"".join(letters[c] for c in token) for token, i in vocab.items()}
-        self.byte_ids = [vocab[c] for c in _byte_letters()]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of.update((i, content.encode()) for content, i in self.added.items())
+        self.first_ids = np.array([vocab[c] for c in _byte_letters()], np.int64)
+        self.bytes_of.update((t["id"], t["content"].encode()) for t in spec["added_tokens"])
+        self.added = {t["content"]: np.int32(t["id"]).tobytes() for t in spec["added_tokens"]}
         parts = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.rank = {vocab[a] << 32 | vocab[b]: k for k, (a, b) in enumerate(parts)}
         self.pair = [(vocab[a], vocab[b], vocab[a + b]) for a, b in parts]
+        codes = np.array(list(self.rank), np.int64)
+        self.pair_ranks = np.argsort(codes)
+        self.pairs = codes[self.pair_ranks]
         self.cut = Pieces()
         self.split_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
-        self.known_pieces: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def merge_all(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of some pieces, by one pair occurrence index over all of them."""
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """The ids (as 32-bit numbers) of some pieces, by one pair occurrence index over all of them."""
         rank, pair = self.rank.get, self.pair
         raw = [p.encode() for p in pieces]
+        ends = np.cumsum([len(b) + 1 for b in raw])
         # A border of -1 after each piece keeps pairs from crossing it.
-        sym = list(chain.from_iterable([*map(self.byte_ids.__getitem__, b), -1] for b in raw))
+        marks = np.ones(ends[-1] if len(ends) else 0, bool)
+        marks[ends - 1] = False
+        symbols = np.full(len(marks), -1, np.int64)
+        symbols[marks] = self.first_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        index = self._occurrences(symbols)
+        sym = symbols.tolist()
         after = list(range(1, len(sym) + 1))
         before = list(range(-1, len(sym) - 1))
-        index: dict[int, list[int]] = {}
-        for at in range(len(sym) - 1):
-            if sym[at] >= 0 and sym[at + 1] >= 0 and (r := rank(sym[at] << 32 | sym[at + 1])) is not None:
-                index.setdefault(r, []).append(at)
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -107,50 +110,62 @@ class Codec:
                 right = after[at] = after[right]
                 before[right] = at
                 left = before[at]
-                if left >= 0 and sym[left] >= 0 and (k := rank(sym[left] << 32 | ab)) is not None:
-                    if k not in index:
-                        index[k] = []
+                if left >= 0 and (s := sym[left]) >= 0 and (k := rank(s << 32 | ab)) is not None:
+                    if k in index:
+                        index[k].append(left)
+                    else:
+                        index[k] = [left]
                         heapq.heappush(active, k)
-                    index[k].append(left)
-                if sym[right] >= 0 and (k := rank(ab << 32 | sym[right])) is not None:
-                    if k not in index:
-                        index[k] = []
+                if (s := sym[right]) >= 0 and (k := rank(ab << 32 | s)) is not None:
+                    if k in index:
+                        index[k].append(at)
+                    else:
+                        index[k] = [at]
                         heapq.heappush(active, k)
-                    index[k].append(at)
-        out, start = [], 0
-        for b in raw:
-            end = start + len(b)
-            out.append([s for s in sym[start:end] if s >= 0])
-            start = end + 1
-        return out
+        symbols = np.array(sym, np.int32)
+        left_over = symbols >= 0
+        packed = symbols[left_over].tobytes()
+        stops = (np.cumsum(left_over)[ends - 1] * 4).tolist() if len(ends) else []
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _occurrences(self, symbols: np.ndarray) -> dict[int, list[int]]:
+        """The pair index at the start: the positions of each rank."""
+        pairs = symbols[:-1] << 32 | symbols[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        at = np.flatnonzero((self.pairs[place] == pairs) & (symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        ranks = self.pair_ranks[place[at]]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        first = np.flatnonzero(np.diff(ranks, prepend=-1))
+        return {
+            int(ranks[a]): at[a:b].tolist() for a, b in zip(first, [*first[1:], len(at)], strict=True)
+        }
 
     def learn(self, stretches: set[str]) -> None:
         """Encode stretches of text not met before."""
-        if len(self.known) + len(stretches) > REMEMBERED:
-            self.known.clear()
-        if len(self.known_pieces) > REMEMBERED:
-            self.known_pieces.clear()
         cut = {s: self.cut.pieces(s) for s in stretches}
-        new = sorted({p for pieces in cut.values() for p in pieces}.difference(self.known_pieces))
-        self.known_pieces.update(zip(new, self.merge_all(new), strict=True))
+        new = list({p for pieces in cut.values() for p in pieces})
+        ids = dict(zip(new, self.merge_all(new), strict=True))
         for s, pieces in cut.items():
-            self.known[s] = [i for p in pieces for i in self.known_pieces[p]]
+            self.known[s] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [[p for p in self.split_added(t) if p] if t else [] for t in texts]
-        cut = [[[p] if p in self.added else self.cut.stretches(p) for p in ps] for ps in parts]
-        met = {s for ps in cut for p in ps for s in p if s not in self.added}
-        if new := met.difference(self.known):
-            if len(self.known) + len(new) > REMEMBERED:
-                new = met
-            self.learn(new)
-        known = {**{c: [i] for c, i in self.added.items()}}
-        look = lambda s: self.known[s] if s not in known else known[s]
+        cut = []
+        for text in texts:
+            parts = self.split_added(text) if text else ()
+            # Every second part is a special token's string.
+            cut.append([[p] if k % 2 else self.cut.stretches(p) for k, p in enumerate(parts)])
+        met = {s for parts in cut for p in parts[::2] for s in p}
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = met
+        self.learn(new)
         get = self.known.__getitem__
         out = []
-        for ps in cut:
-            runs = [map(look if p[0] in known else get, p) for p in ps]
-            out.append(np.fromiter(chain.from_iterable(chain.from_iterable(runs)), np.int32))
+        for parts in cut:
+            runs = [self.added[p[0]] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts)]
+            out.append(np.frombuffer(b"".join(runs), np.int32))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
