@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, reshard
+from . import bpe, decontaminate, ppm, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _hash_mod(key: str, n: int) -> Column:
+    """The remainder by which rows are held out: of the CRC-32 of the id as text."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = ppm.Model.fit(documents.where(_hash_mod("doc_id", 3) != 1), "lang", "text", "doc_id")
+    found = ppm.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (_hash_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
