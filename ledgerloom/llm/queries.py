@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, ppm, reshard
+from . import bpe, decontaminate, parity_join, ppm, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,34 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ppm.Model.fit(documents.where(_hash_mod("doc_id", 3) != 1), "lang", "text", "doc_id")
     found = ppm.predict(documents.select("doc_id", "text"), model)
     return found.select("doc_id", (_hash_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_parity_join", sql="""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents where text is not null
+), s as (
+  select distinct doc_id, array_to_string(w[k : k + 2], ' ') as sh
+  from w, unnest(range(1, greatest(2, len(w) - 1))) as r(k) where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from e union all select b, a from e
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select reach.a, both_ways.b from reach join both_ways on both_ways.a = reach.b
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
+from documents d left join n using (doc_id)
+join (select a as doc_id, min(b) as component_id from reach group by a) c using (doc_id)
+""")
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity_join.link_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
