@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, parity_join, ppm, reshard
+from . import bpe, decontaminate, line_dedup, parity_join, ppm, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,30 @@ join (select a as doc_id, min(b) as component_id from reach group by a) c using
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parity_join.link_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op1_line_dedup", sql="""
+with l as (
+  select doc_id, k as line, x as content, list_filter(regexp_split_to_array(
+    translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k
+    from documents)
+), s as (
+  select distinct doc_id, line, array_to_string(w[k : k + 4], ' ') as sh
+  from l, unnest(range(1, len(w) - 3)) as r(k) where len(w) >= 5
+), n as (
+  select doc_id, line, count(*) as n from s group by all
+), p as (
+  select a.doc_id, a.line, b.doc_id as by_doc, b.line as by_line, count(*) as c
+  from s a join s b on a.sh = b.sh and (b.doc_id, b.line) < (a.doc_id, a.line) group by all
+), m as (
+  select distinct p.doc_id, p.line from p join n x on (x.doc_id, x.line) = (p.doc_id, p.line)
+  join n y on (y.doc_id, y.line) = (by_doc, by_line) where 10 * c >= 8 * (x.n + y.n - c)
+)
+select l.doc_id, count(*)::bigint as n_lines, count(m.line)::bigint as n_removed,
+  coalesce(string_agg(case when m.line is null then content end, chr(10) order by l.line), '') as text
+from l left join m on m.doc_id = l.doc_id and m.line = l.line group by l.doc_id
+""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_matched_lines(documents).select("doc_id", "n_lines", "n_removed", "text")
