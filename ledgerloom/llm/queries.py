@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, line_dedup, parity_join, ppm, reshard
+from . import bpe, decontaminate, line_dedup, parity_join, ppm, repeats, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,12 @@ from l left join m on m.doc_id = l.doc_id and m.line = l.line group by l.doc_id
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.remove_matched_lines(documents).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op2_repeats")
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repeats.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_repeats", "longest_repeat", "covered_chars",
+    )
