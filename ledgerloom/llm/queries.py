@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, line_dedup, parity_join, ppm, repeats, reshard
+from . import aliases, bpe, decontaminate, line_dedup, parity_join, ppm, repeats, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,16 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_repeats", "longest_repeat", "covered_chars",
     )
+
+
+#: Verdict, host and path of each rule.
+RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op3_redirects")
+def op3_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = aliases.judge_pages(_table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
