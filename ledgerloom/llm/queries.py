@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import aliases, bpe, decontaminate, line_dedup, parity_join, ppm, repeats, reshard
+from . import aliases, bpe, decontaminate, line_dedup, parity_join, ppm, pseudonyms, repeats, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +190,13 @@ RULES = [
 def op3_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = aliases.judge_pages(_table(spark, sf_dir, "pages"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Stands for a secret that a user passes in.
+PSEUDONYM_KEY = "example key"
+
+
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY).select("doc_id", "n_pseudonyms", "text")
