@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import aliases, bpe, decontaminate, line_dedup, parity_join, ppm, pseudonyms, repeats, reshard
+from . import aliases, bpe, decontaminate, line_dedup, nbsvm, parity_join, ppm, pseudonyms, repeats, reshard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,3 +200,14 @@ PSEUDONYM_KEY = "example key"
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY).select("doc_id", "n_pseudonyms", "text")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_hash_mod("doc_id", 5) != 0)
+    scored = nbsvm.predict(documents, nbsvm.fit(documents, labels, "quality"))
+    return scored.select(
+        "doc_id", (_hash_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
