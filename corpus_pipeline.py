@@ -2,13 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.llm import bpe, decontaminate, line_dedup, parity_join, ppm
 from ledgerloom.session import materialize
 
-STAGES: list = []
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
-#: Language models, greedy line removal and token ids have no SQL form; tests hold the rows against brute force.
+#: A text whose code in the best language is no shorter than its bytes is in none of the languages.
+MOST_BITS = 8.0
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id and text, and the whole row beside them, so that no column of the documents meets one that a stage adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+
+
+def _rows(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of the documents again, some of them changed."""
+    return [
+        changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"__row.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that are in a language known from the labelled ones; `lang` becomes the predicted language.
+
+    Texts that are null, have no letter or fit no language are rejected. Without any labelled document nothing can be
+    judged, and all stay as they are.
+    """
+    model = ppm.Model.fit(docs, "lang", "text", "doc_id")
+    if not model.languages:
+        return docs
+    judged = ppm.predict(_packed(docs), model)
+    kept = judged.where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS))
+    return kept.select(*_rows(docs, lang=F.col("lang_pred")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out lines that match an earlier line; documents that lose all their lines with words go."""
+    cut = line_dedup.remove_matched_lines(_packed(docs))
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    kept = cut.where(~emptied)
+    return kept.select(*_rows(docs, text=F.col("text"), n_chars=F.length("text")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each class of near copies the document with the smallest id; rows with one id stay or go together."""
+    found = parity_join.link_components(docs)
+    copies = materialize(found.where("id <> component_id").select("id").distinct(), "near-copies")
+    rest = _packed(docs).join(copies, F.col("doc_id").cast("long") == F.col("id"), "left_anti")
+    return rest.select(*_rows(docs))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    clean = decontaminate.contamination(_packed(docs), items).where("n_hit = 0")
+    return clean.select(*_rows(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, their number, and whether decoding them gives the text back; columns so named are replaced."""
+    coded = bpe.encode_decode(_packed(docs), TOKENIZER)
+    old = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "round_trip")]
+    return coded.select(
+        *_rows(docs.select(*old)), "ids", F.size("ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language", language), ("line dedup", lines), ("near copies", near_copies), ("benchmark", benchmark), ("tokens", tokens),
+]
+
+#: Language models and token ids have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

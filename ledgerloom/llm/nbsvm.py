@@ -3,7 +3,7 @@
 Tokens are words and runs of other signs. The n-grams are single tokens, and pairs and triples of token shapes (letter case,
 digits, or the signs themselves) with a mark for a token that repeats the one before. Their indicators are multiplied by
 the log ratio of their smoothed shares in the two classes, and the weights are fitted by dual coordinate descent. A
-sigmoid that is fitted on rows kept apart turns the margin into a score.
+sigmoid that is fitted on margins of rows kept apart turns the margin into a score.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import REMEMBERED_WORDS, annotate, mix
 #: Labelled rows that a model is fitted on at most: the first by a hash of their id.
 FIT_ROWS = 8_000
 FEATURES = 1 << 18
-#: Smoothing of the counts, cost of errors, passes, and every how many rows one is kept for the sigmoid.
-ALPHA, COST, PASSES, APART = 1.0, 0.1, 20, 5
+#: Smoothing of the counts, cost of errors, passes, and parts of the rows whose margins come from a fit on the others.
+ALPHA, COST, PASSES, PARTS = 1.0, 0.1, 20, 5
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -79,18 +79,23 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     flat = Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log(share / (1 - share))))
     if not 0 < labels.sum() < len(labels):
         return flat
-    apart = np.arange(len(rows)) % APART == APART - 1
-    if len(set(labels[apart])) < 2 or len(set(labels[~apart])) < 2:
-        apart[:] = False
-    own = np.flatnonzero(~apart)
+    signs = np.where(labels > 0, 1.0, -1.0)
+    part = np.arange(len(rows)) % PARTS
+    margins = np.zeros(len(rows))
+    for k in range(PARTS):
+        apart = np.flatnonzero(part == k)
+        weights, bias = _fit(rows, signs, np.flatnonzero(part != k))
+        margins[apart] = [weights[rows[i]].sum() + bias for i in apart]
+    return Model(*_fit(rows, signs, np.arange(len(rows))), *_sigmoid(margins, labels))
+
+
+def _fit(rows: list[np.ndarray], signs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias from some of the rows."""
     counts = [np.full(FEATURES, ALPHA), np.full(FEATURES, ALPHA)]
     for k in own:
-        counts[int(labels[k])][rows[k]] += 1
+        counts[int(signs[k] > 0)][rows[k]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    weights, bias = _descend([rows[k] for k in own], np.where(labels[own] > 0, 1.0, -1.0), ratio)
-    held = np.flatnonzero(apart) if apart.any() else own
-    margins = np.array([weights[rows[k]].sum() + bias for k in held])
-    return Model(weights, bias, *_sigmoid(margins, labels[held]))
+    return _descend([rows[k] for k in own], signs[own], ratio)
 
 
 def _descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
