@@ -198,7 +198,7 @@ class Scorer:
         data = [canonical(t) for t in texts]
         bits = np.zeros((len(texts), len(self.model.languages)))
         at = 0
-        while at < len(data):
+        while at < len(data) and self.model.languages:
             end, size = at, 0
             while end < len(data) and (end == at or size < AT_ONCE):
                 size += len(data[end]) + ORDER
