@@ -17,7 +17,9 @@ WHITESPACE = "".join(
     for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
               0x202F, 0x205F, 0x3000]
 )
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Digits may be grouped by single underscores.
+_DIGITS = "[0-9]+(_[0-9]+)*"
+_NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 
 
 def strip(c: Column) -> Column:
@@ -80,13 +82,16 @@ def _amount_or_null(c: Column, vtype: Column | str) -> Column:
     bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) >= 2)
     inner = F.when(bracketed, strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
     plain = strip(F.translate(inner, "$,", ""))
-    number = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    number = F.when(plain.rlike(_NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
     signed = F.when(bracketed, -number).otherwise(number)
     return F.when(kind == "n", c.try_cast("double")).when(kind == "b", F.lit(None)).otherwise(signed)
 
 
 def parse_amount(c: Column, vtype: Column | str = "s") -> Column:
-    """0.0 when blank or unreadable; `(x)` is negative; `$` and thousands commas are ignored."""
+    """0.0 when blank or unreadable; `(x)` is negative; `$`, thousands commas and underscores between digits are ignored.
+
+    `nan` and `inf` are unreadable: no later sum could bear them.
+    """
     return F.coalesce(_amount_or_null(c, vtype), F.lit(0.0))
 
 

@@ -16,7 +16,14 @@ INVOICE_TYPE = (
 )
 _FIELDS = tuple(part.split(":")[0] for part in INVOICE_TYPE[len("struct<"):-1].split(","))
 _PDF_MAGIC = "%PDF-"
-OVERSIZE = f"oversize_>{vocab.INVOICE_MAX_BYTES}_bytes"
+
+
+def oversize(max_bytes: int) -> str:
+    return f"oversize_>{max_bytes}_bytes"
+
+
+def _too_large(size: Column, max_bytes: int | None) -> Column:
+    return F.lit(False) if max_bytes is None else size > max_bytes
 
 
 def invoice(**values: Column) -> Column:
@@ -41,7 +48,7 @@ def unavailable_invoice(
 
 def pdf_invoice(
     source: Column, path_or_url: Column, text: Column, page_count: Column, hint: Column, sha256: Column,
-    size_bytes: Column,
+    size_bytes: Column, full_read: int | None = vocab.FULL_READ_PAGES,
 ) -> Column:
     def build(pages: Column) -> Column:
         return invoice(
@@ -50,7 +57,7 @@ def pdf_invoice(
             est_input_tokens=F.size(pages) * vocab.PAGE_TOKENS_HIGH + text_tokens(text),
         )
 
-    return bind(select_pages(page_count, hint), build)
+    return bind(select_pages(page_count, hint, full_read), build)
 
 
 def looks_like_login(body: Column) -> Column:
@@ -64,11 +71,13 @@ def looks_like_login(body: Column) -> Column:
 
 
 def classify_body(
-    url: Column, content_type: Column, body: Column, page_count: Column, text: Column | None = None
+    url: Column, content_type: Column, body: Column, page_count: Column, text: Column | None = None,
+    max_bytes: int | None = vocab.INVOICE_MAX_BYTES, full_read: int | None = vocab.FULL_READ_PAGES,
 ) -> Column:
     """Trust test of a fetched body: size, then PDF, then HTML, then login walls in text, then everything else.
 
-    `page_count` and `text` come from whatever decoded the PDF; `text` defaults to the body itself.
+    `page_count` and `text` come from whatever decoded the PDF; `text` defaults to the body itself. Bodies over `max_bytes`
+    are reported with their size instead of being read, windows over `full_read` pages are read at both ends; None: no limit.
     """
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     size, sha = F.octet_length(body), F.sha2(body, 256)
@@ -82,10 +91,12 @@ def classify_body(
         kind=F.lit("text"), source=here, path_or_url=url, text=body, sha256=sha, size_bytes=size,
         read_path=F.lit("text"), est_input_tokens=text_tokens(body),
     )
-    as_pdf = pdf_invoice(here, url, body if text is None else text, page_count, F.lit(None).cast("string"), sha, size)
+    as_pdf = pdf_invoice(
+        here, url, body if text is None else text, page_count, F.lit(None).cast("string"), sha, size, full_read
+    )
     unsupported = F.concat(F.lit("unsupported_content_type: "), F.when(kind == "", "unknown").otherwise(kind))
     return (
-        F.when(size > vocab.INVOICE_MAX_BYTES, rejected(F.lit(OVERSIZE), with_sha=False))
+        F.when(_too_large(size, max_bytes), rejected(F.lit(oversize(max_bytes or 0)), with_sha=False))
         .when(kind.contains("pdf") | body.startswith(_PDF_MAGIC), as_pdf)
         .when(kind.contains("html"), rejected(F.lit("html_response_possible_login_or_expired_url")))
         .when(readable_text & looks_like_login(body), rejected(F.lit("login_page_detected")))
@@ -95,18 +106,19 @@ def classify_body(
 
 
 def classify_file(
-    path: Column, size_bytes: Column, head: Column, sha256: Column, page_count: Column, text: Column, hint: Column
+    path: Column, size_bytes: Column, head: Column, sha256: Column, page_count: Column, text: Column, hint: Column,
+    max_bytes: int | None = vocab.INVOICE_MAX_BYTES, full_read: int | None = vocab.FULL_READ_PAGES,
 ) -> Column:
-    """Trust test of a local file: missing, then size, then the five leading bytes."""
+    """Trust test of a local file: missing, then size, then the five leading bytes. Limits as for `classify_body`."""
     here = F.lit("local_file")
     return (
         F.when(size_bytes.isNull(), unavailable_invoice(here, path, F.lit("file_not_found")))
-        .when(size_bytes > vocab.INVOICE_MAX_BYTES, unavailable_invoice(here, path, F.lit(OVERSIZE), size_bytes))
+        .when(_too_large(size_bytes, max_bytes), unavailable_invoice(here, path, F.lit(oversize(max_bytes or 0)), size_bytes))
         .when(
             F.coalesce(head, F.lit("")) != _PDF_MAGIC,
             unavailable_invoice(here, path, F.lit("not_a_pdf_magic_bytes_missing"), size_bytes, sha256),
         )
-        .otherwise(pdf_invoice(here, path, text, page_count, hint, sha256, size_bytes))
+        .otherwise(pdf_invoice(here, path, text, page_count, hint, sha256, size_bytes, full_read))
     )
 
 

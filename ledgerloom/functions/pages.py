@@ -34,19 +34,19 @@ def page_window(page_count: Column, hint: Column) -> Column:
     )
 
 
-def select_pages(page_count: Column, hint: Column) -> Column:
-    """Page numbers to read: a window of up to 20 pages in full, a longer one by its first and last two."""
+def select_pages(
+    page_count: Column, hint: Column, full_read: int | None = vocab.FULL_READ_PAGES, edges: int = vocab.EDGE_PAGES
+) -> Column:
+    """Page numbers to read: a window of up to `full_read` pages in full (None: any), a longer one by its first and last
+    `edges`. The window itself is `page_window`."""
 
     def choose(window: Column) -> Column:
         first, last = window["first"], window["last"]
-        edges = F.array_union(
-            F.sequence(first, first + (vocab.EDGE_PAGES - 1)), F.sequence(last - (vocab.EDGE_PAGES - 1), last)
-        )
-        return (
-            F.when(last < first, F.array().cast("array<int>"))
-            .when(last - first + 1 <= vocab.FULL_READ_PAGES, F.sequence(first, last))
-            .otherwise(edges)
-        )
+        whole = F.when(last < first, F.array().cast("array<int>"))
+        if full_read is None:
+            return whole.otherwise(F.sequence(first, last))
+        ends = F.array_union(F.sequence(first, first + (edges - 1)), F.sequence(last - (edges - 1), last))
+        return whole.when(last - first + 1 <= full_read, F.sequence(first, last)).otherwise(ends)
 
     return bind(page_window(page_count.cast("int"), hint), choose)
 

@@ -130,38 +130,38 @@ def sweep_stats(items: DataFrame, failures: DataFrame, mentions: DataFrame) -> D
     return beside(sums, entries)
 
 
-def evidence_text(evidence: DataFrame) -> DataFrame:
-    """All evidence of a deal as lines `ref: quote`, cut at the cell limit with `...`.
+def evidence_text(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """All evidence of a deal as lines `ref: quote`, one text per deal; `deal_evidence` has one row per line.
 
-    Only the lines that can reach into the cell are brought together: line lengths are added up per range of `ord`,
-    ranges that begin beyond the limit are dropped, and what is left fits one cell and one range.
+    A spreadsheet's cell takes `limit` characters (`vocab.CELL_MAX_CHARS`); a longer text is then cut and ends in `...`.
+    Only the lines that can reach into the cell are brought together in that case: line lengths are added up per range of
+    `ord`, ranges that begin beyond the limit are dropped, and what is left fits one cell and one range.
     """
     line = F.concat(F.coalesce("ref", F.lit("?")), F.lit(": "), F.coalesce("quote", F.lit("")))
     lines = evidence.select(
         "deal_key", "ord", "at", line.alias("line"), F.floor(F.col("ord") / _BUCKET).alias("low"),
         F.floor(F.col("ord") / (_BUCKET * _BUCKET)).alias("high"),
     )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "at", "line"))), lambda s: s["line"]), "\n")
+    if limit is None:
+        return lines.groupBy("deal_key").agg(text.alias("evidence"))
     lows = lines.groupBy("deal_key", "high", "low").agg(F.sum(F.length("line") + 1).alias("chars"))
     highs = lows.groupBy("deal_key", "high").agg(F.sum("chars").alias("chars"))
     earlier = lambda by, order: F.coalesce(F.sum("chars").over(
         Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    limit = vocab.CELL_MAX_CHARS + 1
-    near = highs.withColumn("before", earlier(["deal_key"], "high")).where(F.col("before") < limit)
+    near = highs.withColumn("before", earlier(["deal_key"], "high")).where(F.col("before") <= limit)
     kept = lows.join(near.select("deal_key", "high", "before"), ["deal_key", "high"]).withColumn(
         "start", F.col("before") + earlier(["deal_key", "high"], "low")
-    ).where(F.col("start") < limit).select("deal_key", "low")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "at", "line"))), lambda s: s["line"]), "\n")
+    ).where(F.col("start") <= limit).select("deal_key", "low")
     whole = lines.join(kept, ["deal_key", "low"]).groupBy("deal_key").agg(text.alias("text"))
-    cut = F.concat(F.substring("text", 1, vocab.CELL_MAX_CHARS - 3), F.lit("..."))
-    return whole.select(
-        "deal_key", F.when(F.length("text") > vocab.CELL_MAX_CHARS, cut).otherwise(F.col("text")).alias("evidence")
-    )
+    cut = F.concat(F.substring("text", 1, limit - 3), F.lit("..."))
+    return whole.select("deal_key", F.when(F.length("text") > limit, cut).otherwise(F.col("text")).alias("evidence"))
 
 
-def profile_table(entries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The exported table: lists joined by `; `, evidence as text."""
+def profile_table(entries: DataFrame, evidence: DataFrame, cell_limit: int | None = None) -> DataFrame:
+    """The exported table: lists joined by `; `, evidence as text, which a spreadsheet export cuts at `cell_limit`."""
     joined = lambda c: F.array_join(c, "; ").alias(c)
-    return entries.join(evidence_text(evidence), "deal_key", "left").select(
+    return entries.join(evidence_text(evidence, cell_limit), "deal_key", "left").select(
         "name", "supporting_rows", joined("matter_numbers"), joined("invoice_numbers"), joined("quarters"),
         joined("aliases"), joined("properties"), joined("entityids"), joined("advisors_seen"),
         F.coalesce("evidence", F.lit("")).alias("evidence"),

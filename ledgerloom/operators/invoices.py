@@ -1,8 +1,8 @@
 """Finding the file behind a mined invoice key.
 
 Candidates are never paired up. Every file announces the keys it can answer to (prefixes of its stem in the lengths that
-keys have, its normalised stem); per key only counts and one file number are kept. A file name has at most 255
-characters, which bounds the announcements, and counting absorbs prefixes that a large share of all files share.
+keys have, its normalised stem); per key only counts and one file number are kept. There are as many announcements per
+file as keys have different lengths up to its own, and counting absorbs prefixes that a large share of all files share.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from ..functions.mining import normalize_key
 from ..session import materialize
 from .joins import lookup_join
 
-MAX_NAME = 255
-
 
 def lookup_index(lookup: DataFrame) -> DataFrame:
     """Lookup rows by normalised invoice key, and by normalised vendor number where that differs."""
@@ -62,8 +60,8 @@ def numbered_files(files: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def key_lengths(keys: DataFrame) -> list[int]:
-    """Lengths of the keys looked for: at most 255 small numbers, since no file name is longer."""
-    lengths = keys.select(F.length("key").alias("n")).where(F.col("n").between(1, MAX_NAME)).distinct()
+    """The lengths that keys looked for have: one small number per length that occurs."""
+    lengths = keys.select(F.length("key").alias("n")).where(F.col("n") > 0).distinct()
     return sorted(r.n for r in lengths.collect())
 
 

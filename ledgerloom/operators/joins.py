@@ -5,46 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_limit, input_bytes, splits_skewed_joins
-
-HOT_KEY_ROWS = 1_000_000
 SALTS = 64
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "left",
-    salted: bool | None = None, hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS,
+    rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "left", salts: int = SALTS
 ) -> DataFrame:
     """Join `rows` to `lookup`, which holds at most one row per key.
 
     Catalyst broadcasts the lookup if it is below the session's threshold. Otherwise both sides shuffle on the key, and
     adaptive execution splits a partition that a hot key has swollen: the lookup side is unique, so only `rows` can be
-    skewed, and an outer join allows that side to be split. Where the session has this switched off, the key is salted
-    here, at the price of one more pass over the key columns: keys with at least `hot_rows` rows spread over `salts`
-    tasks and only their lookup rows are copied. At most rows / hot_rows keys are that hot, which bounds the list that
-    is broadcast. Rows without a key match nothing; they are spread the same way instead of meeting in one partition.
+    skewed, and an outer join allows that side to be split. Rows without a key match nothing; they are spread over
+    `salts` tasks instead of meeting in one partition.
     """
-    if salted is None:
-        spark = rows.sparkSession
-        salted = not splits_skewed_joins(spark) and input_bytes(lookup) > broadcast_limit(spark)
+    if how == "inner":
+        return rows.join(lookup, keys, how)
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    if not salted:
-        if how == "inner":
-            return rows.join(lookup, keys, how)
-        left = rows.withColumn("_salt", F.when(missing, salt).otherwise(0))
-        return left.join(lookup.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
-    hot = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
-        .where(F.expr(" and ".join(f"{k} is not null" for k in keys))).select(*keys, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | missing, salt).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left = rows.withColumn("_salt", F.when(missing, salt).otherwise(0))
+    return left.join(lookup.withColumn("_salt", F.lit(0)), [*keys, "_salt"], how).drop("_salt")
 
 
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -13,8 +13,6 @@ from .. import vocab
 from ..functions.periods import quarter_of
 
 _PERIOD = re.compile(r"^\d{6}$")
-# A longer list of selected periods is joined instead of being written into the filter.
-INLINE_PERIODS = 1000
 
 
 @dataclass(frozen=True)
@@ -66,8 +64,8 @@ def _require_periods(ledger: DataFrame, tokens: Iterable[str]) -> None:
 def scope_periods(ledger: DataFrame, months: str | None = None) -> DataFrame:
     """Rows of the selected periods. Rows without a period survive only under `all`.
 
-    A short selection becomes a literal filter on `period`, so that a ledger partitioned by period is pruned at the
-    scan; the driver only ever sees as many periods as the argument names.
+    The latest periods are all from the earliest of them on, so one literal bound selects them, and a ledger partitioned
+    by period is pruned at the scan. The driver sees the periods an argument names, or that bound.
     """
     scope = parse_months(months)
     if scope.every:
@@ -76,9 +74,7 @@ def scope_periods(ledger: DataFrame, months: str | None = None) -> DataFrame:
         _require_periods(ledger, scope.tokens)
         return ledger.where(F.col("period").isin(list(scope.tokens)))
     chosen = latest_periods(ledger, scope.count)
-    if scope.count > INLINE_PERIODS:
-        return ledger.join(chosen, "period", "left_semi")
-    return ledger.where(F.col("period").isin([r.period for r in chosen.collect()]))
+    return ledger.where(F.col("period") >= F.lit(chosen.agg(F.min("period")).head()[0]).cast("string"))
 
 
 def material(min_usd: float | None = None):

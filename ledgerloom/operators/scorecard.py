@@ -16,18 +16,28 @@ def _count() -> Column:
 
 
 def money(c: str = "amount") -> Column:
-    return F.sum(F.col(c).cast("decimal(18,2)"))
+    """Sum of amounts as decimals; an amount beyond sixteen digits before the point is left out (see `unsummed`)."""
+    return F.sum(F.col(c).try_cast("decimal(18,2)"))
+
+
+def unsummed(records: DataFrame, c: str = "amount") -> DataFrame:
+    """Rows whose amount is no money value and so is in no sum: not a number, or too large."""
+    return records.where(F.col(c).isNotNull() & F.col(c).try_cast("decimal(18,2)").isNull())
 
 
 def read_stats(ledger: DataFrame, skipped_blank_rows: DataFrame | None = None) -> DataFrame:
-    """Rows, blank amounts and a currency tally (`EUR=3,USD=5`), one row."""
+    """Rows, blank amounts and a currency tally (`EUR=3,USD=5`), one row.
+
+    `skipped_blank_rows` (one row, one column of that name) is what the reader left out; it is added to the result.
+    """
     per_currency = ledger.groupBy("currency").agg(_count().alias("n"), F.count_if("amount_was_blank").alias("blank"))
     entry = F.concat(F.col("currency"), F.lit("="), F.col("n").cast("string"))
-    return per_currency.agg(
+    stats = per_currency.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_data_rows"),
         F.coalesce(F.sum("blank"), F.lit(0)).alias("blank_amount_rows"),
         F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("currency_tally"),
     )
+    return stats if skipped_blank_rows is None else beside(stats, skipped_blank_rows.select("skipped_blank_rows"))
 
 
 def ingest_check(ledger: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def index_report(ctx):
 @query("k4_profile_table", "entries", "valid_mentions", check="""
 select name, supporting_rows, array_to_string(matter_numbers, '; ') as matter_numbers, array_to_string(invoice_numbers, '; ') as invoice_numbers, array_to_string(quarters, '; ') as quarters,
  array_to_string(aliases, '; ') as aliases, array_to_string(properties, '; ') as properties, array_to_string(entityids, '; ') as entityids, array_to_string(advisors_seen, '; ') as advisors_seen,
- case when length(text) > 32000 then concat(left(text, 31997), '...') else text end as evidence
+ text as evidence
 from entries join (select deal_key, string_agg(concat(ref, ': ', quote), chr(10) order by first_ord) as text from (
  select deal_key, evidence_ref as ref, evidence_quote as quote, min(ord) as first_ord from valid_mentions group by all) e group by deal_key) t using (deal_key)""")
 def profile_table(ctx):

@@ -13,7 +13,7 @@ RULES = [
         Condition("invoice_date", "on_or_after", "1998-03-31", fallback="entrdate"),
     )),
     Rule("counterparty", "flag", "any_of", (
-        Condition("descrptn|adddesc", "contains", "Womble"), Condition("category", "equals", "acquisition costs"),
+        Condition("descrptn|adddesc", "contains", "Harbour"), Condition("category", "equals", "acquisition costs"),
     )),
     Rule("miscoded", "human_review", "all_of", (
         Condition("acctnum", "equals", "MR70000005"), Condition("entrdate", "on_or_after", "1997-03-01"),

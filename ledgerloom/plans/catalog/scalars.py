@@ -61,8 +61,9 @@ select o_orderkey, coalesce(v, 0) as amount, v is null as was_blank from (
  select o_orderkey, case amount_type when 'n' then try_cast(raw_amount as double) when 's' then
   case when t[1] = '(' and t[-1] = ')' then -n else n end end as v
  from (select *, trim(raw_amount) as t,
-   case when regexp_full_match(trim(replace(replace(trim(raw_amount, ' ()'), '$', ''), ',', '')), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
-        then try_cast(trim(replace(replace(trim(raw_amount, ' ()'), '$', ''), ',', '')) as double) end as n
+   case when regexp_full_match(trim(replace(replace(trim(raw_amount, ' ()'), '$', ''), ',', '')),
+    '[+-]?([0-9]+(_[0-9]+)*\\.?([0-9]+(_[0-9]+)*)?|\\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?')
+        then try_cast(replace(trim(replace(replace(trim(raw_amount, ' ()'), '$', ''), ',', '')), '_', '') as double) end as n
   from raw_cells) a) b""")
 def parse_amount(ctx):
     value, kind = F.col("raw_amount"), F.col("amount_type")

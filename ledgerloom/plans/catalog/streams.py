@@ -10,10 +10,16 @@ from ...streaming import live
 from ..registry import query
 
 
+#: Files that the event table is dealt to, out of order of time; a micro-batch reads two of them.
+FILES, FILES_PER_BATCH = 8, 2
+
+
 def _log_stream(ctx):
-    """The decision log as a stream over the event file."""
-    schema = ctx.view("events").schema
-    events = ctx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(ctx.sf_dir)
+    """The decision log as a stream over the events in several micro-batches, each with rows of all times."""
+    events = ctx.view("events")
+    path = scratch_path(ctx.spark, "events")
+    events.repartition(FILES, *[F.col(c) for c in events.columns]).write.parquet(path)
+    events = ctx.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     text = fixtures.view_sql("decision_log", fixtures.SPARK).replace("from events", "from {events}")
     return ctx.spark.sql(text, events=events).withColumn("ts", F.timestamp_micros("ts_us"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +31,15 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    A local master may fall back to a temporary folder (tests); a cluster may not, because executors and a
-    restarted driver must see the same files.
+    On a local master a folder of the session's warehouse stands in for it where it is unset (tests); a cluster must name
+    one, because executors and a restarted driver must see the same files.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every node can reach")
-    fallback = getattr(spark, "_ledgerloom_scratch", None)
-    if fallback is None:
-        fallback = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark._ledgerloom_scratch = fallback
-    return fallback
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -64,33 +57,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of all tables `df` reads, as far as Catalyst knows it; no job runs and no plan is optimised."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-SPLIT_BYTES = 4 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table of a few megabytes out to all cores.
-
-    Such a table usually is one file with one row group, which a single task would read and process to the end. A table
-    that gives every core a split of its own is left alone, so nothing large is ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if SPLIT_BYTES // 64 < input_bytes(df) < cores * SPLIT_BYTES else df
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """`spark.sql.autoBroadcastJoinThreshold` in bytes; -1 when broadcasting is off."""
-    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
-def splits_skewed_joins(spark: SparkSession) -> bool:
-    """True when adaptive execution may split an oversized join partition at run time."""
-    on = lambda key: spark.conf.get(key, "true").lower() == "true"
-    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")

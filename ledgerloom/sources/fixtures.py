@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread_small
-
 SPARK = {
     "ym": "date_format(o_orderdate, 'yyyyMM')", "div": "div", "explode": "explode", "array": "array",
     "flt": "double", "bytes": "octet_length", "sha": "sha2(stem, 256)",
@@ -47,19 +45,19 @@ select cast(o_orderkey + 2 as bigint) as row_idx,
  o_orderkey % 17 = 0 as amount_was_blank,
  case when n_regionkey = 3 then 'EUR' when n_regionkey = 2 then 'JPY' when o_orderkey % 29 = 0 then 'UNKNOWN' else 'USD' end as currency,
  case o_orderkey % 12
-  when 0 then concat('Deloitte INV', cast(80000 + o_orderkey as {text}), ' dated 1')
-  when 1 then concat(cast(600000 + o_orderkey as {text}), '         Womble - Project')
-  when 2 then concat('Vendor Acme ', cast(840000 + o_orderkey as {text}), ' payment approved')
-  when 3 then 'Payment due 10/18/24 balance'
-  when 4 then 'Multi-Tenant Loan IV'
+  when 0 then concat('Brightwater INV', cast(80000 + o_orderkey as {text}), ' of May')
+  when 1 then concat(cast(600000 + o_orderkey as {text}), '         Harbour works')
+  when 2 then concat('Supplier Marlow ', cast(840000 + o_orderkey as {text}), ' transfer done')
+  when 3 then 'Rent due 03/09/23 remainder'
+  when 4 then 'Twin-Tower Bond III'
   when 5 then 'Reclass prior quarter'
   when 6 then concat('Legal fees Project ', n_name)
-  when 7 then concat('Payment for services rendered to us  INV#', cast(440000 + o_orderkey as {text}))
+  when 7 then concat('Third transfer for the garden upkeep  INV#', cast(440000 + o_orderkey as {text}))
   when 8 then null
-  when 9 then 'Order ID 123 confirmed'
+  when 9 then 'Ticket No 417 closed'
   when 10 then 'Merger advisory accrual'
   else 'Monthly rent' end as descrptn,
- case when o_orderkey % 8 = 0 then concat('Ref INV-', cast(770000 + o_orderkey as {text}), '/A processed')
+ case when o_orderkey % 8 = 0 then concat('see INV-', cast(770000 + o_orderkey as {text}), '/C in file')
       when o_orderkey % 31 = 0 then 'RECLASSIFIED to 6455' else null end as adddesc,
  o_orderstatus as source,
  cast(cast(o_orderdate as date) as {text}) as entrdate,
@@ -171,7 +169,7 @@ select row_idx as ord, cast(row_idx {div} 20 as bigint) as batch_id,
  case when row_idx % 3 = 0 then {array}(cast(600000 + row_idx as {text})) end as invoice_numbers,
  {array}(concat(cast(100 + row_idx % 12 as {text}), ' Main St')) as properties,
  {array}(entityid) as entityids,
- {array}(source, 'Womble') as advisors_seen,
+ {array}(source, 'Harbour') as advisors_seen,
  case when row_idx % 37 = 0 then null else concat('row ', cast(row_idx as {text})) end as evidence_ref,
  coalesce(descrptn, 'no text') as evidence_quote,
  {array}(cast(row_idx as {text}), cast(row_idx + 1 as {text}), 'x7', cast(row_idx + 900000000 as {text})) as supporting_row_idxs,
@@ -300,7 +298,7 @@ def base_tables(name: str) -> set[str]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,11 +34,13 @@ def list_invoice_files(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("path", name.alias("stem"), F.col("length").alias("size_bytes"))
 
 
-def read_invoice_files(spark: SparkSession, directory: str) -> DataFrame:
-    """As `list_invoice_files`, with leading bytes and hash; files over the size limit are listed but not opened."""
+def read_invoice_files(
+    spark: SparkSession, directory: str, max_bytes: int | None = vocab.INVOICE_MAX_BYTES
+) -> DataFrame:
+    """As `list_invoice_files`, with leading bytes and hash; files over `max_bytes` (None: no limit) are listed but not opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(directory)
-    small = files.where(F.col("length") <= vocab.INVOICE_MAX_BYTES)
-    large = files.where(F.col("length") > vocab.INVOICE_MAX_BYTES)
+    large = files.where(F.lit(False) if max_bytes is None else F.col("length") > max_bytes)
+    small = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
     name = F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("stem")
     size = F.col("length").alias("size_bytes")
     head = F.decode(F.substring("content", 1, 5), "ISO-8859-1").alias("head")

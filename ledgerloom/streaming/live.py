@@ -26,6 +26,10 @@ def _batch_writer(path: str, fold=None):
     return write
 
 
+def _within(log: DataFrame, watermark: str | None) -> DataFrame:
+    return log if watermark is None else log.withWatermark("ts", watermark)
+
+
 def stream_latest(log: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the latest decision per row. `log`: row_idx, store_ord, seq and the record.
 
@@ -52,15 +56,17 @@ def compact_latest(spark: SparkSession, path: str, target: str) -> None:
 
 
 def stream_tally(
-    log: DataFrame, path: str, checkpoint: str, watermark: str = "10 minutes", window: str = "1 minute",
+    log: DataFrame, path: str, checkpoint: str, watermark: str | None = None, window: str = "1 minute",
     available_now: bool = False,
 ) -> StreamingQuery:
     """Decisions per window, label and phase. `log`: ts, classification, phase.
 
-    Rows older than the watermark are dropped and their windows leave the state; every change to a window is written as
-    it happens (update mode), so open windows are visible too.
+    Every change to a window is written as it happens (update mode), so open windows are visible too. Without a watermark
+    no row is ever too late, and the state keeps one small row per window, label and phase. With one, windows older than
+    it leave the state and rows that are later than that are not counted: give it only where the log is known to be in
+    order within that time.
     """
-    counted = log.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "classification", "phase").agg(
+    counted = _within(log, watermark).groupBy(F.window("ts", window).alias("w"), "classification", "phase").agg(
         F.count(F.lit(1)).alias("n")
     ).select(F.unix_micros("w.start").alias("window_us"), "classification", "phase", "n")
     return _start(counted, _batch_writer(path), checkpoint, "update", available_now)
@@ -71,12 +77,20 @@ def read_tally(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy("window_us", "classification", "phase").agg(F.max_by("n", "batch_no").alias("n"))
 
 
+def compact_tally(spark: SparkSession, path: str, target: str) -> None:
+    """As `compact_latest`. Readers of `path` move to `target` once it is written."""
+    read_tally(spark, path).withColumn("batch_no", F.lit(0).cast("bigint")).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def stream_usage(
-    log: DataFrame, path: str, checkpoint: str, watermark: str = "10 minutes", length: str = "60 seconds",
+    log: DataFrame, path: str, checkpoint: str, watermark: str | None = None, length: str = "60 seconds",
     slide: str = "10 seconds", available_now: bool = False,
 ) -> StreamingQuery:
-    """Requests and tokens per model in sliding windows. `log`: ts, model, input_tokens, output_tokens."""
-    used = log.withWatermark("ts", watermark).groupBy(F.window("ts", length, slide).alias("w"), "model").agg(
+    """Requests and tokens per model in sliding windows. `log`: ts, model, input_tokens, output_tokens.
+
+    `watermark` as for `stream_tally`: the default loses nothing.
+    """
+    used = _within(log, watermark).groupBy(F.window("ts", length, slide).alias("w"), "model").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
     ).select(F.unix_micros("w.start").alias("window_us"), "model", "requests", "input_tokens", "output_tokens")
@@ -87,3 +101,8 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.option("basePath", path).parquet(path)
     values = F.struct("requests", "input_tokens", "output_tokens")
     return parts.groupBy("window_us", "model").agg(F.max_by(values, "batch_no").alias("v")).select("window_us", "model", "v.*")
+
+
+def compact_usage(spark: SparkSession, path: str, target: str) -> None:
+    """As `compact_latest`. Readers of `path` move to `target` once it is written."""
+    read_usage(spark, path).withColumn("batch_no", F.lit(0).cast("bigint")).write.mode("overwrite").parquet(f"{target}/batch=0")

@@ -85,7 +85,7 @@ def test_triage_precedence(make_ledger):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_plain_join(spark, how):
+def test_lookup_equals_plain_join(spark, how):
     random.seed(1)
     left = spark.createDataFrame(
         [(i, None if i % 5 == 0 else "hot" if i % 3 == 0 else f"k{random.randrange(40)}") for i in range(600)], "id long, k string"
@@ -93,10 +93,9 @@ def test_salted_lookup_equals_plain_join(spark, how):
     right = spark.createDataFrame([(f"k{i}", i) for i in range(0, 40, 2)] + [("hot", 99)], "k string, v int")
     plain = rows(left.join(right, "k", how), "id", "k", "v") if how == "inner" else None
     want = plain or sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()), key=str)
-    for salted in (True, False):
-        got = lookup_join(left, right, ["k"], "id", how=how, salted=salted, hot_rows=50, salts=7)
-        assert sorted(map(tuple, got.select("id", "k", "v").collect()), key=str) == sorted(want, key=str)
-        assert got.columns == ["k", "id", "v"]
+    got = lookup_join(left, right, ["k"], "id", how=how, salts=7)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect()), key=str) == sorted(want, key=str)
+    assert got.columns == ["k", "id", "v"]
 
 
 def test_global_positions_with_one_hot_key(spark):
@@ -303,19 +302,21 @@ def test_reconciliation_rules(spark, make_ledger):
 # -- deals, rules, review ----------------------------------------------------------------------------------------
 
 
-def test_evidence_is_cut_at_the_cell_limit(spark):
+def test_evidence_is_whole_or_cut_at_the_cell_limit(spark):
     lines = [("big", f"r{i:05d}", "q" * 40, i * 3, 0) for i in range(3000)] + [("small", None, "only", 50_000_000, 0), ("small", "b", None, 7, 1)]
     evidence = spark.createDataFrame(lines, "deal_key string, ref string, quote string, ord long, at int")
-    got = {r.deal_key: r.evidence for r in deals.evidence_text(evidence).collect()}
+    got = {r.deal_key: r.evidence for r in deals.evidence_text(evidence, 32000).collect()}
+    uncut = {r.deal_key: r.evidence for r in deals.evidence_text(evidence).collect()}
     whole = "\n".join(f"{ref}: {quote}" for _, ref, quote, _, _ in lines[:3000])
+    assert uncut == {"big": whole, "small": "b: \n?: only"}
     assert got["big"] == whole[: 32000 - 3] + "..." and got["small"] == "b: \n?: only"
 
 
 def test_known_deals_match_whole_words(spark, make_ledger):
     names = spark.createDataFrame([("project red", "Project Red"), ("redwood", "Redwood")], "deal_key string, name string")
-    terms = spark.createDataFrame([("redwood", "matter_numbers", "M-12"), ("redwood", "advisors_seen", "Womble"), ("project red", "aliases", "M-12")], "deal_key string, field string, value string")
+    terms = spark.createDataFrame([("redwood", "matter_numbers", "M-12"), ("redwood", "advisors_seen", "Harbour"), ("project red", "aliases", "M-12")], "deal_key string, field string, value string")
     ledger = make_ledger([
-        {"descrptn": "fee PROJECT  red, closing"}, {"descrptn": "projectred Redwoods"}, {"descrptn": "x", "adddesc": "ref m/12 Womble"},
+        {"descrptn": "fee PROJECT  red, closing"}, {"descrptn": "projectred Redwoods"}, {"descrptn": "x", "adddesc": "ref m/12 Harbour"},
         {"descrptn": "Redwood and project red"}, {"descrptn": None},
     ])
     got = rows(deals.match_deals(ledger, deals.deal_dictionary(names, terms)), "row_idx", "deal_key", "n_phrases")
