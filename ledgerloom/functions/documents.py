@@ -11,7 +11,7 @@ from .pages import format_pages, select_pages
 from .tokens import text_tokens
 
 INVOICE_TYPE = (
-    "struct<kind:string,source:string,path_or_url:string,text:string,pages_read:string,page_count:int,"
+    "struct<kind:string,source:string,path_or_url:string,text:string,text_tokens:bigint,pages_read:string,page_count:int,"
     "sha256:string,size_bytes:bigint,read_path:string,est_input_tokens:bigint,error:string>"
 )
 _FIELDS = tuple(part.split(":")[0] for part in INVOICE_TYPE[len("struct<"):-1].split(","))
@@ -27,7 +27,9 @@ def _too_large(size: Column, max_bytes: int | None) -> Column:
 
 
 def invoice(**values: Column) -> Column:
-    """An invoice struct; fields not given are null."""
+    """An invoice struct; fields not given are null, but for the text's tokens."""
+    if "text" in values:
+        values.setdefault("text_tokens", text_tokens(values["text"]))
     return F.struct(*[values.get(name, F.lit(None)).alias(name) for name in _FIELDS]).cast(INVOICE_TYPE)
 
 
@@ -48,13 +50,16 @@ def unavailable_invoice(
 
 def pdf_invoice(
     source: Column, path_or_url: Column, text: Column, page_count: Column, hint: Column, sha256: Column,
-    size_bytes: Column, full_read: int | None = vocab.FULL_READ_PAGES,
+    size_bytes: Column, full_read: int | None = vocab.FULL_READ_PAGES, tokens: Column | None = None,
 ) -> Column:
+    """`tokens`: the text's tokens, where the text itself is not at hand."""
+    tokens = text_tokens(text) if tokens is None else tokens
+
     def build(pages: Column) -> Column:
         return invoice(
-            kind=F.lit("pdf"), source=source, path_or_url=path_or_url, text=text, pages_read=format_pages(pages),
+            kind=F.lit("pdf"), source=source, path_or_url=path_or_url, text=text, text_tokens=tokens, pages_read=format_pages(pages),
             page_count=page_count, sha256=sha256, size_bytes=size_bytes, read_path=F.lit("vision"),
-            est_input_tokens=F.size(pages) * vocab.PAGE_TOKENS_HIGH + text_tokens(text),
+            est_input_tokens=F.size(pages) * vocab.PAGE_TOKENS_HIGH + tokens,
         )
 
     return bind(select_pages(page_count, hint, full_read), build)
@@ -108,8 +113,10 @@ def classify_body(
 def classify_file(
     path: Column, size_bytes: Column, head: Column, sha256: Column, page_count: Column, text: Column, hint: Column,
     max_bytes: int | None = vocab.INVOICE_MAX_BYTES, full_read: int | None = vocab.FULL_READ_PAGES,
+    tokens: Column | None = None,
 ) -> Column:
-    """Trust test of a local file: missing, then size, then the five leading bytes. Limits as for `classify_body`."""
+    """Trust test of a local file: missing, then size, then the five leading bytes. Limits as for `classify_body`,
+    `tokens` as for `pdf_invoice`."""
     here = F.lit("local_file")
     return (
         F.when(size_bytes.isNull(), unavailable_invoice(here, path, F.lit("file_not_found")))
@@ -118,7 +125,7 @@ def classify_file(
             F.coalesce(head, F.lit("")) != _PDF_MAGIC,
             unavailable_invoice(here, path, F.lit("not_a_pdf_magic_bytes_missing"), size_bytes, sha256),
         )
-        .otherwise(pdf_invoice(here, path, text, page_count, hint, sha256, size_bytes, full_read))
+        .otherwise(pdf_invoice(here, path, text, page_count, hint, sha256, size_bytes, full_read, tokens))
     )
 
 
@@ -126,9 +133,14 @@ def is_readable(document: Column) -> Column:
     return F.coalesce(document["kind"].isin(*vocab.READABLE_KINDS), F.lit(False))
 
 
+def without_text(document: Column) -> Column:
+    """The document as rows carry it: sizes, hash and token counts; the text stays in `resolution.document_texts`."""
+    return document.withField("text", F.lit(None).cast("string"))
+
+
 def invoice_summary(document: Column) -> Column:
     """What a decision record keeps: no text, no estimate; null when no document was referenced."""
-    kept = document.dropFields("text", "est_input_tokens")
+    kept = document.dropFields("text", "text_tokens", "est_input_tokens")
     return F.when(document["kind"].isin("pdf", "text", "error"), kept)
 
 

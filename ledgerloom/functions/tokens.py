@@ -67,7 +67,7 @@ def low_end_tokens(est: Column, invoice: Column) -> Column:
     fallback = F.floor(est * 0.75).cast("bigint")
     base = F.greatest(est - F.coalesce(invoice["est_input_tokens"], F.lit(0)), F.lit(0))
     pages = pages_read_count(invoice["pages_read"])
-    text = text_tokens(invoice["text"])
+    text = F.coalesce(invoice["text_tokens"], text_tokens(invoice["text"]))
     return (
         F.when(invoice.isNull() | ~F.coalesce(invoice["kind"].isin(*vocab.READABLE_KINDS), F.lit(False)), est)
         .when(invoice["read_path"] == "text", base + text)

@@ -24,7 +24,7 @@ HIDDEN_FROM_SCORER = ("amount_was_blank", "userid")
 ANSWER_FIELDS = (
     "classification", "basis", "recognized_deal", "invoice_read", "invoice_date", "reasoning", "evidence", "missing_info",
 )
-SUMMARY_TYPE = INVOICE_TYPE.replace("text:string,", "").replace("est_input_tokens:bigint,", "")
+SUMMARY_TYPE = INVOICE_TYPE.replace("text:string,", "").replace("text_tokens:bigint,", "").replace("est_input_tokens:bigint,", "")
 # Decision columns beside the ledger fields, with their types.
 RECORD_FIELDS = {
     "phase": "string", "model_version": "string", "error": "string", "had_invoice": "string",

@@ -9,7 +9,7 @@ from .. import vocab
 from ..functions import documents
 from ..functions.mining import is_substantive_reference
 from ..functions.reporting import row_fingerprint
-from ..functions.tokens import estimate_row_tokens
+from ..functions.tokens import estimate_row_tokens, text_tokens
 from .invoices import resolve_keys
 from .joins import beside, lookup_join
 
@@ -17,10 +17,18 @@ NOT_FETCHED = "fetch_failed: no response body"
 
 
 def fetched_documents(rows: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Trusted or rejected document per distinct URL worth fetching."""
+    """Trusted or rejected document per distinct URL worth fetching, without its text."""
     urls = rows.where(is_substantive_reference(F.col("invoice_url"))).select(F.col("invoice_url").alias("url")).distinct()
     document = documents.classify_body(F.col("url"), F.col("content_type"), F.col("body"), F.col("page_count"))
-    return bodies.join(urls, "url", "left_semi").select(F.col("url").alias("invoice_url"), document.alias("url_doc"))
+    return bodies.join(urls, "url", "left_semi").select(
+        F.col("url").alias("invoice_url"), documents.without_text(document).alias("url_doc")
+    )
+
+
+def document_texts(bodies: DataFrame, files: DataFrame) -> DataFrame:
+    """`sha256` and `text`, once per document: what a scorer joins for the rows it asks about."""
+    fetched = bodies.select(F.sha2("body", 256).alias("sha256"), F.col("body").alias("text"))
+    return fetched.unionByName(files.select("sha256", "text")).where("sha256 is not null").dropDuplicates(["sha256"])
 
 
 def local_documents(rows: DataFrame, files: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -30,9 +38,10 @@ def local_documents(rows: DataFrame, files: DataFrame, lookup: DataFrame) -> Dat
     """
     keyed = rows.where("invoice_url is null and key is not null")
     answers = resolve_keys(keyed, files, lookup)
-    content = files.select("stem", "size_bytes", "head", "sha256", "page_count", "text")
+    content = files.select("stem", "size_bytes", "head", "sha256", "page_count", text_tokens(F.col("text")).alias("tokens"))
     document = documents.classify_file(
-        F.col("stem"), F.col("size_bytes"), F.col("head"), F.col("sha256"), F.col("page_count"), F.col("text"), F.col("hint")
+        F.col("stem"), F.col("size_bytes"), F.col("head"), F.col("sha256"), F.col("page_count"),
+        F.lit(None).cast("string"), F.col("hint"), tokens=F.col("tokens"),
     )
     missed = documents.unavailable_invoice(
         F.lit("local_file"), F.col("key"), F.concat(F.lit("local_resolution_"), F.col("status"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ledgerloom.operators import scope, triage
+from ledgerloom.operators import resolution, scope, triage
 from ledgerloom.plans import catalog
 from ledgerloom.plans.registry import CHECKS, QUERIES, Context
 
@@ -36,6 +36,18 @@ def test_scope_filter_reaches_the_scan_and_prunes_columns(spark, tmp_path, make_
     assert "invoice_url" not in read and "source" not in read and "entityid" not in read
 
 
+def test_rows_carry_no_document_text(spark, make_ledger):
+    ledger = make_ledger([{"invoice_url": "http://x/long"}, {"descrptn": "Supplier Marlow 73190 paid"}])
+    bodies = spark.createDataFrame([("http://x/long", "text/plain", "y" * 400, 0)], "url string, content_type string, body string, page_count int")
+    files = spark.createDataFrame([("73190", 10, "%PDF-", "sha", 3, "z" * 800)], "stem string, size_bytes long, head string, sha256 string, page_count int, text string")
+    lookup = spark.createDataFrame([], "vendor_invoice_no string, invoice_key string, gnl_ref string, pages string, gl_entityids string, csv_row long")
+    items = resolution.work_items(triage.scorer_bound(triage.prepared(ledger)), bodies, files, lookup)
+    got = {r.row_idx: r.invoice for r in items.collect()}
+    assert [(got[k].text, got[k].text_tokens) for k in (2, 3)] == [(None, 100), (None, 200)]
+    texts = {r.sha256: len(r.text) for r in resolution.document_texts(bodies, files).collect()}
+    assert texts == {got[2].sha256: 400, got[3].sha256: 800}
+
+
 def test_every_query_is_checked_or_known_to_be_rows_only():
     catalog.load()
     assert set(QUERIES) - set(CHECKS) == ROWS_ONLY
