@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import log
+from ...operators import log, reconcile, resolution
+from ...session import scratch_path
 from ..registry import query
 from .reconcile import records
+from .resolution import _SUBSTANTIVE as SUBSTANTIVE
 
 
 def _stores(ctx):
@@ -20,6 +22,19 @@ def routing(ctx):
     return log.route_store(records(ctx)).select("row_idx", "store")
 
 
+@query("s13_stored_log", "records", check="""
+select row_idx, 7 as seq, case when acctnum = 'MR58200000' then 'deal' else 'main' end as store, phase, classification, amount, currency from records""")
+def stored_log(ctx):
+    """The records written to a log's stores and read back."""
+    nested = reconcile.nest_records(records(ctx)).withColumn("seq", F.lit(7).cast("bigint"))
+    path = scratch_path(ctx.spark, "stored-log")
+    log.append_log(nested, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nested.schema)
+    lines = log.read_log(ctx.spark, path, schema)
+    flat = reconcile.flatten_records(lines).select("row_idx", "phase", "classification", "amount", "currency")
+    return lines.select("row_idx", "seq", "store").join(flat, "row_idx")
+
+
 @query("u2_union_of_stores", "decision_log", check="select seq, row_idx, store_ord from decision_log")
 def union_of_stores(ctx):
     return log.union_stores(*_stores(ctx)).select("seq", "row_idx", "store_ord")
@@ -49,6 +64,9 @@ def difference(ctx):
     return ctx.view("ledger").select("row_idx").subtract(ctx.view("decision_log").select("row_idx"))
 
 
-@query("u4_distinct_references", "ledger", check="select distinct invoice_url from ledger where invoice_url is not null")
+@query("u4_distinct_references", "ledger", "bodies", check=f"""
+select distinct invoice_url, b.kind, b.sha256 from ledger join bodies b on b.url = invoice_url where {SUBSTANTIVE.format("invoice_url")}""")
 def distinct_references(ctx):
-    return ctx.view("ledger").where(F.col("invoice_url").isNotNull()).select("invoice_url").distinct()
+    found = resolution.fetched_documents(ctx.view("ledger"), ctx.view("fetched_bodies"))
+    kept = F.when(F.col("url_doc.error").isNull() | ~F.col("url_doc.error").like("oversize%"), F.col("url_doc.sha256"))
+    return found.select("invoice_url", F.col("url_doc.kind").alias("kind"), kept.alias("sha256"))

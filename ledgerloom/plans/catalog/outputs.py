@@ -22,8 +22,8 @@ _PLAIN = [c for c in vocab.RESULT_COLUMNS if c not in ("reasoning", "evidence",
 
 
 def _decided(ctx):
-    """Records of one part of the ledger only, so that undecided rows remain."""
-    return records(ctx).where(F.col("period") < "200001")
+    """The records of rows that the decision log knows; the others are undecided."""
+    return records(ctx).join(ctx.view("decision_log").select("row_idx").distinct(), "row_idx", "left_semi")
 
 
 @query("p32_invoice_pointer", "results", check="select row_idx, invoice_pointer from results")
@@ -36,27 +36,27 @@ def sweep_status(ctx):
     return outputs.result_columns(records(ctx)).select("row_idx", "deal_sweep_status")
 
 
-@query("k2_annotated_ledger", "ledger", "results", check=f"""
+@query("k2_annotated_ledger", "ledger", "results", "decision_log", check=f"""
 select l.row_idx, l.period, l.amount, {', '.join(f"r.{c}" for c in _PLAIN if c != 'classification')},
  case when r.row_idx is not null then r.classification when l.period >= '200101' then 'not_processed' end as classification
-from ledger l left join (select * from results join (select row_idx, period from ledger) using (row_idx) where period < '200001') r using (row_idx)""")
+from ledger l left join (select * from results where row_idx in (select row_idx from decision_log)) r using (row_idx)""")
 def annotated(ctx):
     ledger = ctx.view("ledger")
     in_scope = ledger.where(F.col("period") >= "200101")
     return outputs.annotate(ledger, _decided(ctx), in_scope).select("row_idx", "period", "amount", *_PLAIN)
 
 
-@query("k2_annotated_again", "ledger", "results", check="""
-select l.row_idx, case when r.classification is not null and l.period < '200001' then r.classification else 'earlier' end as classification, 'kept' as "Flags2"
-from ledger l left join results r using (row_idx)""")
+@query("k2_annotated_again", "ledger", "results", "decision_log", check="""
+select l.row_idx, case when r.row_idx is not null then r.classification else 'earlier' end as classification, 'kept' as "Flags2"
+from ledger l left join (select * from results where row_idx in (select row_idx from decision_log)) r using (row_idx)""")
 def annotated_again(ctx):
     carrying = ctx.view("ledger").withColumns({"Classification": F.lit("earlier"), "Flags2": F.lit("kept")})
     out_of_scope = ctx.view("ledger").where("false")
     return outputs.annotate(carrying, _decided(ctx), out_of_scope).select("row_idx", "classification", "Flags2")
 
 
-@query("j10_ledger_decisions", "ledger", "results", check="""
-select l.row_idx, l.amount, r.classification from ledger l left join (select r.* from results r join ledger using (row_idx) where period < '200001') r using (row_idx)""")
+@query("j10_ledger_decisions", "ledger", "results", "decision_log", check="""
+select l.row_idx, l.amount, case when r.row_idx is null then 'not_processed' else r.classification end as classification
+from ledger l left join (select * from results where row_idx in (select row_idx from decision_log)) r using (row_idx)""")
 def ledger_decisions(ctx):
-    decided = _decided(ctx).select("row_idx", "classification")
-    return ctx.view("ledger").join(decided, "row_idx", "left").select("row_idx", "amount", "classification")
+    return outputs.annotate(ctx.view("ledger"), _decided(ctx)).select("row_idx", "amount", "classification")
