@@ -14,121 +14,136 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import LOWER, WordHashes, mix, small_side
+from .common import LOWER, hash_words, mix, small_side
 
 SHINGLE, NUM, DEN = 5, 8, 10
 
 #: Buckets of the table of token counts that the order by rarity comes from; its size is fixed.
 BUCKETS = 1 << 16
 #: 64-bit words of a line's sketch.
-SKETCH = 4
+SKETCH = 2
 #: Texts whose lines a worker holds at a time.
 TEXTS = 256
 
-_SETS = "id long, line int, n int, d1 long, d2 long, prefix array<long>, sketch array<long>"
+_SETS = "id long, line int, n int, d1 long, d2 long, s0 long, s1 long, prefix array<long>"
 
 
 def _batches(batches):
     for whole in batches:
         for at in range(0, whole.num_rows, TEXTS):
             batch = whole.slice(at, TEXTS)
-            yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+
+
+def _tokens(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all lines of `size` words or more: their hashes and lines; and the text and number of each line."""
+    data = [t.encode().translate(LOWER) for t in texts]
+    joined = b"\n".join(data)
+    words, starts = hash_words(joined)
+    breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+    line = np.searchsorted(breaks, starts)
+    token = np.full(max(len(words) - size + 1, 0), np.uint64(size))
+    for k in range(size):
+        token = mix(token * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(token)])
+    inside = line[: len(token)] == line[size - 1 :]
+    token, line = token[inside], line[: len(token)][inside]
+    own, of = np.unique(line, return_inverse=True)
+    counts = [d.count(b"\n") + 1 for d in data]
+    firsts = np.cumsum(counts) - counts  # of each text's lines among all
+    text = np.searchsorted(firsts, own, "right") - 1
+    return token, of, text, (own - firsts[text]).astype(np.int32)
 
 
 class Lines:
-    """The token sets of the lines of some texts, one after the other; lines of fewer than `size` words have none."""
-
-    def __init__(self, ids: list[int], texts: list[str], size: int, hashes: WordHashes) -> None:
-        words: list[bytes] = []
-        counts, owner, number = [], [], []
-        for i, text in zip(ids, texts, strict=True):
-            for k, line in enumerate(text.encode().translate(LOWER).split(b"\n")):
-                own = line.split()
-                if len(own) >= size:
-                    words += own
-                    counts.append(len(own))
-                    owner.append(i)
-                    number.append(k)
-        self.ids, self.numbers = np.array(owner, np.int64), np.array(number, np.int32)
-        value = hashes.of(words)
-        token = np.full(max(len(value) - size + 1, 0), np.uint64(size))
-        for k in range(size):
-            token = mix(token * np.uint64(0x9E3779B97F4A7C15) + value[k : k + len(token)])
-        of = np.repeat(np.arange(len(counts)), counts)
-        inside = of[: len(token)] == of[size - 1 :]
-        token, of = token[inside], of[: len(token)][inside]
-        order = np.lexsort((token, of))
+    """The token sets of lines, one after the other, each from rare tokens to common ones.
+
+    A token is the rank of its bucket's count, in steps of a factor of about 1.4, above 58 bits of its hash. So the order of
+    the numbers is the order by rarity, and it is the same everywhere.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: list[str], size: int, ranks: np.ndarray) -> None:
+        token, of, text, self.numbers = _tokens(texts, size)
+        self.ids = np.asarray(ids, np.int64)[text]
+        token = ranks[_bucket(token)] << np.uint64(58) | token >> np.uint64(6)
+        order = np.argsort(token)
+        lines = of[order].astype(np.uint16) if len(self.ids) < 1 << 16 else of[order]
+        order = order[np.argsort(lines, kind="stable")]
         token, of = token[order], of[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (of[1:] != of[:-1])
         self.tokens, self.of = token[new], of[new]
-        self.sizes = np.bincount(self.of, minlength=len(counts))
+        self.sizes = np.bincount(self.of, minlength=len(self.ids))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def digest(self, salt: int) -> np.ndarray:
+        """A number per line that depends on the set alone."""
+        if not len(self.starts):
+            return np.empty(0, np.int64)
+        return np.add.reduceat(mix(self.tokens ^ np.uint64(salt)), self.starts).view(np.int64)
 
-    @property
-    def starts(self) -> np.ndarray:
-        return np.cumsum(self.sizes) - self.sizes
+    def sketch(self) -> np.ndarray:
+        """Per line `SKETCH` words of bits, each toggled by the tokens that hash to it."""
+        bits = 64 * SKETCH
+        place = self.of * bits + (self.tokens & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(self.ids) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+        return np.packbits(odd, axis=1).view(np.int64).reshape(-1, SKETCH)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(48)).astype(np.int64) % BUCKETS
+    return (tokens >> np.uint64(48)).astype(np.int64)
 
 
-def token_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """How often tokens of each bucket occur in all lines: a table of fixed size."""
+def rarity(rows: DataFrame, size: int) -> np.ndarray:
+    """The rank of each bucket of tokens by how often they occur in all lines: a table of fixed size."""
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
-        for ids, texts in _batches(batches):
-            total += np.bincount(_bucket(Lines(ids, texts, size, hashes).tokens), minlength=BUCKETS)
+        total = np.zeros(BUCKETS, np.int64)
+        for _, texts in _batches(batches):
+            total += np.bincount(_bucket(_tokens(texts, size)[0]), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
     found = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    return np.minimum(2 * np.log2(np.maximum(out, 1)), 63).astype(np.uint64)
+
 
+def _line_sets(rows: DataFrame, size: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
+    """One row per line with a set: its size, a digest of the set, a sketch, and its prefix tokens from rare to common.
 
-def _line_sets(rows: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """One row per line with a set: its size, a digest of the set, its prefix tokens from rare to common, its sketch."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    Of lines with equal sets in one batch only the first carries the prefix.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        hashes, rarity = WordHashes(), shared.value
         for ids, texts in _batches(batches):
-            x = Lines(ids, texts, size, hashes)
-            n, starts = x.sizes, x.starts
-            order = np.lexsort((x.tokens, rarity[_bucket(x.tokens)], x.of))
-            length = n - -(-n * num // den) + 1
-            kept = np.arange(len(x.of)) - starts[x.of] < length[x.of]  # x.of is sorted, so it holds after ordering too
-            digest = lambda salt: (
-                np.add.reduceat(mix(x.tokens ^ np.uint64(salt)), starts) if len(starts) else x.tokens
-            ).view(np.int64)
-            bits = np.bincount(
-                x.of * (64 * SKETCH) + (x.tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64),
-                minlength=len(n) * 64 * SKETCH,
-            ).reshape(-1, 64 * SKETCH) & 1
-            sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).ravel() if len(n) else np.empty(0, np.int64)
-            lists = lambda flat, sizes: pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)
-            )
+            x = Lines(ids, texts, size, shared.value)
+            n, d1, sketch = x.sizes, x.digest(1), x.sketch()
+            told = np.zeros(len(n), bool)
+            told[np.unique(d1, return_index=True)[1]] = True
+            length = np.where(told, n - -(-n * num // den) + 1, 0)
+            kept = np.arange(len(x.of)) - x.starts[x.of] < length[x.of]
             yield pa.RecordBatch.from_arrays([
-                pa.array(x.ids), pa.array(x.numbers), pa.array(n.astype(np.int32)), pa.array(digest(1)), pa.array(digest(2)),
-                lists(x.tokens[order][kept].view(np.int64), length), lists(sketch, np.full(len(n), SKETCH)),
-            ], ["id", "line", "n", "d1", "d2", "prefix", "sketch"])
+                pa.array(x.ids), pa.array(x.numbers), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(x.digest(2)),
+                *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)],
+                _lists(x.tokens[kept].view(np.int64), length),
+            ], ["id", "line", "n", "d1", "d2", "s0", "s1", "prefix"])
 
     return rows.mapInArrow(run, _SETS)
 
 
-def _possible(x: str, y: str, num: int, den: int) -> Column:
-    """Whether lengths, positions of the shared token and sketches leave a match possible."""
-    f = lambda side, name: F.col(f"{side}.{name}")
-    n, m = f(x, "n"), f(y, "n")
-    least = F.least(n - f(x, "p"), m - f(y, "p"))  # tokens from the shared one on
-    distance = sum((F.bit_count(f(x, f"s{k}").bitwiseXOR(f(y, f"s{k}"))) for k in range(SKETCH)), F.lit(0))
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
+def _possible(num: int, den: int) -> Column:
+    """Whether lengths, positions (n, p and m, q) of a shared token, and sketches leave a match possible."""
+    n, m = F.col("n"), F.col("m")
+    least = F.least(n - F.col("p"), m - F.col("q"))  # tokens from the shared one on
+    distance = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(SKETCH)), F.lit(0))
     return (
-        (F.least(n, m) * den >= F.greatest(n, m) * num)
-        & (least * (den + num) >= (n + m) * num)
+        (F.least(n, m) * den >= F.greatest(n, m) * num) & (least * (den + num) >= (n + m) * num)
         & (distance * (den + num) <= (n + m) * (den - num))
     )
 
@@ -140,54 +155,67 @@ def matched_lines(
 
     Lines are cut at line feeds, words at ASCII blanks after A-Z are lower-cased. Lines of fewer than `size` words match
     nothing; nor do null texts and rows with a null id. Of lines with equal sets the first one stays. Rows with one id are
-    taken as one document: their lines of one number count as the same place. Tokens are told apart by 64-bit hashes.
+    taken as one document: their lines of one number count as the same place. Tokens are told apart by 58 bits of a hash and their rank.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(
         "id is not null and text is not null"
     )
-    lines = materialize(_line_sets(rows, size, num, den, token_counts(rows, size)), "lines")
-    place = F.struct("id", "line").alias("at")
-    sets = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at")).select("d1", "d2", "n", "at")
-    firsts = materialize(lines.select("id", "line", place, "n", "prefix", "sketch").join(
-        sets.select("at"), "at", "left_semi"
-    ).drop("at").dropDuplicates(["id", "line"]), "first-lines")
-    copies = lines.join(sets, ["d1", "d2", "n"]).where(F.struct("id", "line") > F.col("at")).select("id", "line")
-    tokens = firsts.select("id", "line", F.posexplode("prefix").alias("p", "token"))
-    shared = tokens.groupBy("token").agg(
-        F.min(place).alias("first"), F.max(place).alias("last")
-    ).where("first < last").select("token", "first")
-    facts = firsts.select("id", "line", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)])
-    met = materialize(tokens.join(shared, "token").join(facts, ["id", "line"]).select(
-        "token", "first", F.struct("id", "line").alias("at"), F.struct("p", "n", *[f"s{k}" for k in range(SKETCH)]).alias("x")
-    ), "shared-tokens")
-    heads = met.where("at = first").select("token", F.col("x").alias("y"))
-    near = met.where("at > first").join(heads, "token").where(_possible("x", "y", num, den))
-    found = _verified(rows, near.select("at", F.col("first").alias("by")).distinct(), size, num, den)
+    ranks = rarity(rows, size)
+    lines = materialize(_line_sets(rows, size, num, den, ranks), "lines")
+    tokens = lines.select("d1", F.posexplode("prefix").alias("p", "token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    # One row per token on that side, so its part of a partition stays small.
+    met = materialize(tokens.join(often.hint("shuffle_hash"), "token").distinct(), "shared-tokens")
+    # Equal sets have one digest, so these are tokens of several sets.
+    several = met.groupBy("token").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x < y").select("token")
+    met = met.join(several, "token")
+    place = F.struct("id", "line")
+    wanted = small_side(materialize(met.select("d1").distinct().withColumn("met", F.lit(True)), "set-digests"))
+    sets = lines.groupBy("d1", "d2", "n").agg(
+        F.min(place).alias("at"), F.count("*").alias("k"), F.min("s0").alias("s0"), F.min("s1").alias("s1")
+    )
+    sets = materialize(sets.join(wanted, "d1", "left").where("k > 1 or met"), "sets")
+    copies = lines.select("id", "line", "d1", "d2", "n").join(
+        small_side(sets.where("k > 1").select("d1", "d2", "n", "at")), ["d1", "d2", "n"]
+    ).where(place > F.col("at")).select("id", "line")
+    met = materialize(
+        met.join(sets.where("met").select("d1", "n", "at", "s0", "s1"), "d1").select("token", "p", "n", "at", "s0", "s1"), "met"
+    )
+    earlier = {"at": "by", "n": "m", "p": "q", "s0": "t0", "s1": "t1"}
+    heads = met.groupBy("token").agg(F.min(F.struct(*earlier)).alias("h")).select(
+        "token", *[F.col(f"h.{a}").alias(b) for a, b in earlier.items()]
+    )
+    near = met.join(heads, "token").where((F.col("at") > F.col("by")) & _possible(num, den))
+    found = _verified(rows, near.select("at", "by").distinct(), size, num, den, ranks)
     # Lines without a match so far meet every earlier line of their tokens but the first.
-    open_ = met.where("at > first").join(found, "at", "left_anti")
-    others = met.where("at > first").select("token", F.col("at").alias("by"), F.col("x").alias("y"))
-    near = open_.join(others, "token").where((F.col("by") < F.col("at")) & _possible("x", "y", num, den))
-    more = _verified(rows, near.select("at", "by").distinct(), size, num, den)
+    left = met.join(found, "at", "left_anti").join(heads.select("token", F.col("by").alias("head")), "token").where(
+        F.col("at") > F.col("head")
+    )
+    others = met.withColumnsRenamed(earlier)
+    near = left.join(others, "token").where(
+        (F.col("by") < F.col("at")) & (F.col("by") > F.col("head")) & _possible(num, den)
+    )
+    more = _verified(rows, near.select("at", "by").distinct(), size, num, den, ranks)
     return copies.unionByName(found.unionByName(more).select("at.id", "at.line")).distinct()
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
     """`at` of the pairs (at, by) whose sets match; only documents that occur in pairs are read again."""
     pairs = materialize(pairs, "line-pairs")
-    wanted = materialize(pairs.select("at").union(pairs.select("by")).distinct().select("at.id", "at.line"), "wanted-lines")
-    docs = materialize(wanted.select("id").distinct(), "wanted-documents")
+    lines = materialize(pairs.select("at").union(pairs.select("by")).distinct().select("at.id", "at.line"), "wanted-lines")
+    docs = materialize(lines.select("id").distinct(), "wanted-documents")
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        hashes = WordHashes()
         for ids, texts in _batches(batches):
-            x = Lines(ids, texts, size, hashes)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(x.sizes)]), pa.int32()), pa.array(x.tokens.view(np.int64))
+            x = Lines(ids, texts, size, shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.ids), pa.array(x.numbers), _lists(x.tokens.view(np.int64), x.sizes)], ["id", "line", "tokens"]
             )
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids), pa.array(x.numbers), lists], ["id", "line", "tokens"])
 
     read = rows.join(small_side(docs), "id", "left_semi").mapInArrow(run, "id long, line int, tokens array<long>")
-    own = read.join(small_side(wanted), ["id", "line"], "left_semi").select(F.struct("id", "line").alias("at"), "tokens")
+    own = read.join(small_side(lines), ["id", "line"], "left_semi").select(F.struct("id", "line").alias("at"), "tokens")
+    own = materialize(own, "line-sets")
     both = pairs.join(own.withColumnRenamed("tokens", "x"), "at").join(
         own.withColumnsRenamed({"at": "by", "tokens": "y"}), "by"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import BATCH_ROWS, LOWER, WordHashes, mix, shingles, small_side
+from .common import BATCH_ROWS, LOWER, hash_words, mix, shingles, small_side
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 8, 10
@@ -78,20 +78,18 @@ class Bands:
         return mix(mix(value) + mix(np.uint64(band << 32) + taken.astype(np.uint64)))
 
 
-def _sets(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    words = text.encode().translate(LOWER).split() if text else []
-    return shingles(hashes.of(words), size)
+def _set(text: str | None, size: int) -> np.ndarray:
+    return shingles(hash_words((text or "").encode().translate(LOWER))[0], size)
 
 
 def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
     """Rows made from the set of each document; `make` gets ids and sets and returns the arrays of a batch."""
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                sets = [_sets(t, size, hashes) for t in batch.column(1).to_pylist()]
+                sets = [_set(t, size) for t in batch.column(1).to_pylist()]
                 names, arrays = make(batch.column(0).to_numpy(zero_copy_only=False), sets)
                 yield pa.RecordBatch.from_arrays([pa.array(a) if not isinstance(a, pa.Array) else a for a in arrays], names)
 
