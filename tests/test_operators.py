@@ -208,6 +208,9 @@ def resolve(spark, stems, key, entity=None, lookup=()):
 
 def test_invoice_cases(spark):
     assert resolve(spark, ["1231239"], "1231239") == ("resolved", "1231239", None)
+    long = "INV7" * 100
+    assert resolve(spark, [long], long) == ("resolved", long, None)
+    assert resolve(spark, [f"{long}__x"], long) == ("resolved", f"{long}__x", None)
     assert resolve(spark, ["INV-12345"], "12345") == ("resolved", "INV-12345", None)
     assert resolve(spark, ["INV-12345", "12-345"], "12345") == ("ambiguous", None, None)
     assert resolve(spark, ["UNRELATED-999"], "12345") == ("no_match", None, None)
