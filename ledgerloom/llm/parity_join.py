@@ -8,8 +8,9 @@ takes part in the next band too. A second sketch of 512 single bits bounds the s
 Hamming distance and dismisses most chance meetings before any set is compared.
 
 All sets that share a block are first compared with the smallest id among them, and links make components. Only where a
-block's sets are still in different components are pairs across components looked at, and of these only those emitted
-whose sketches allow a link. So every pair that could link is either joined through others or compared itself, and pairs
+block's sets are still in different components are pairs across components looked at; of these only those are emitted whose
+sketches allow a link, each at one of the blocks it shares (the first of those that are among the least keys of both sets,
+or all where there is none). So every pair that could link is either joined through others or compared itself, and pairs
 within a component are never made.
 """
 
@@ -27,8 +28,8 @@ from .components import components
 
 SHINGLE, NUM, DEN = 5, 8, 10
 
-#: 64-bit words of the single-bit sketch.
-SKETCH = 8
+#: 64-bit words of the single-bit sketch, and how many of its least keys a set is asked for to tell a pair's first block.
+SKETCH, LEAST = 8, 4
 
 
 @dataclass(frozen=True)
@@ -96,13 +97,27 @@ def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _profile(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[str], list]:
-    bits = np.array([np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 for s in sets])
-    words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64) if len(sets) else np.zeros((0, SKETCH), np.int64)
-    return (
-        ["id", "n", *[f"s{k}" for k in range(SKETCH)]],
-        [ids, np.array([len(s) for s in sets], np.int64), *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)]],
-    )
+def _profile(bands: Bands):
+    """Per document: the size of its set, the single-bit sketch, and the join keys."""
+
+    def make(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[str], list]:
+        top = 64 * SKETCH
+        bits = np.array([np.bincount((s & np.uint64(top - 1)).astype(np.int64), minlength=top) & 1 for s in sets])
+        words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64) if len(sets) else np.zeros((0, SKETCH), np.int64)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        return (
+            ["id", "n", *[f"s{k}" for k in range(SKETCH)], "keys"],
+            [ids, sizes, *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)],
+             _lists([bands.keys(s) if len(s) else s for s in sets])],
+        )
+
+    return make
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0] + [len(a) for a in arrays])
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def _near(a: str, b: str, num: int, den: int) -> Column:
@@ -126,9 +141,11 @@ def link_components(
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     words = ", ".join(f"s{k} long" for k in range(SKETCH))
-    profile = materialize(_per_row(rows, size, f"id long, n long, {words}", _profile), "profiles")
-    links = _links(rows.where("id is not null and text is not null"), profile, size, Bands(num, den))
-    labels = components(links)
+    bands = Bands(num, den)
+    profile = materialize(
+        _per_row(rows, size, f"id long, n long, {words}, keys array<long>", _profile(bands)), "profiles"
+    )
+    labels = components(_links(rows.where("id is not null and text is not null"), profile, size, bands))
     return profile.select("id", F.col("n").alias("n_shingles")).join(
         labels, F.col("id") == F.col("node"), "left"
     ).select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -136,34 +153,31 @@ def link_components(
 
 def _links(rows: DataFrame, profile: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Links (a, b) that connect what all links connect."""
-
-    def keys(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[str], list]:
-        own = [bands.keys(s) if len(s) else s for s in sets]
-        flat = np.concatenate(own) if own else np.empty(0, np.uint64)
-        return ["key", "id"], [flat.view(np.int64), np.repeat(ids.astype(np.int64), [len(k) for k in own])]
-
-    blocks = _per_row(rows, size, "key long, id long", keys)
+    num, den = bands.num, bands.den
+    known = profile.where("id is not null and n > 0")
+    blocks = known.select(F.explode("keys").alias("key"), "id")
     shared = blocks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     met = materialize(blocks.join(shared.drop("last"), "key"), "blocks")
-    look = profile.where("n > 0").dropDuplicates(["id"])
-    num, den = bands.num, bands.den
-    one = look.select(F.col("id").alias("a"), F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias("p"))
-    two = one.select(F.col("a").alias("b"), F.col("p").alias("q"))
+    facts = F.struct("n", *[f"s{k}" for k in range(SKETCH)])
+    look = known.drop("keys").distinct().select("id", facts.alias("p"))
+    one, two = look.withColumnRenamed("id", "a"), look.withColumnsRenamed({"id": "b", "p": "q"})
     first = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(one, "a").join(two, "b").where(_near("p", "q", num, den)).select("a", "b")
+    first = first.join(one, "a").join(two, "b").where(_near("p", "q", num, den)).select("a", "b").distinct()
     links = _verified(rows, materialize(first, "pairs"), size, num, den)
-    # What is left: blocks whose sets are not connected yet.
-    labels = components(links)
-    placed = met.drop("first").join(labels, F.col("id") == F.col("node"), "left").select(
+    # Blocks whose sets are in several components: each pair across components, at one of the blocks it shares.
+    placed = met.select("key", "id").join(components(links), F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("component", "id").alias("c")
     )
-    open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    left = placed.join(open_, "key").join(one.withColumnRenamed("a", "id"), "id")
-    left = materialize(left, "open-blocks")
-    other = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("p").alias("q"))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("c") < F.col("d")) & _near("p", "q", num, den))
-    more = _verified(rows, materialize(rest.select("a", "b").distinct(), "pairs"), size, num, den)
-    return links.unionByName(more)
+    several = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+    least = known.select("id", facts.alias("p"), F.slice(F.array_sort("keys"), 1, LEAST).alias("least")).distinct()
+    left = materialize(placed.join(several, "key").join(least, "id"), "open-blocks")
+    other = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("p").alias("q"), F.col("least").alias("other"))
+    both = F.array_intersect("least", "other")
+    once = (F.size(both) == 0) | (F.col("key") == F.array_min(both))
+    rest = left.withColumnRenamed("id", "a").join(other, "key").where(
+        (F.col("c") < F.col("d")) & _near("p", "q", num, den) & once
+    )
+    return links.unionByName(_verified(rows, materialize(rest.select("a", "b").distinct(), "pairs"), size, num, den))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -171,10 +185,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int)
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
 
     def sets(ids: np.ndarray, own: list[np.ndarray]) -> tuple[list[str], list]:
-        offsets = np.cumsum([0] + [len(s) for s in own])
-        flat = np.concatenate(own) if own else np.empty(0, np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
-        return ["id", "set"], [ids, lists]
+        return ["id", "set"], [ids, _lists(own)]
 
     found = rows.join(small_side(wanted), "id", "left_semi")
     own = _per_row(found, size, "id long, set array<long>", sets)
