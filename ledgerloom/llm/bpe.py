@@ -160,7 +160,8 @@ class Codec:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = met
-        self.learn(new)
+        if new:
+            self.learn(new)
         get = self.known.__getitem__
         out = []
         for parts in cut:

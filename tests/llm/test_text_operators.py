@@ -145,6 +145,9 @@ def test_bpe_odd_texts():
         want = library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want
         assert codec.decode(ids) == library.decode(want, skip_special_tokens=False)
+    # A batch that brings nothing new, and one without any text.
+    assert [x.tolist() for x in codec.encode(texts[:5])] == [library.encode(t, add_special_tokens=False).ids for t in texts[:5]]
+    assert [x.tolist() for x in codec.encode([None, ""])] == [[], []] and codec.encode([]) == []
 
 
 # Language
