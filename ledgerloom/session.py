@@ -42,9 +42,28 @@ def scratch_root(spark: SparkSession) -> str:
     return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `scratch_paths` lists it until it is released."""
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def scratch_paths() -> list[str]:
+    """All scratch tables of this process that were not released yet, in the order they were asked for."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables whose readers are done; a path that is not there is no error."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
