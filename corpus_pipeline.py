@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import bpe, decontaminate, line_dedup, parity_join, ppm
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, release, scratch_paths
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,8 +76,28 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+_LEFT: list[str] = []
+
+
+def _tidy(stage):
+    """`stage`, which first drops the scratch tables of the stage called before it: that one's result is written by then."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT)
+        _LEFT.clear()
+        before = set(scratch_paths())
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(p for p in scratch_paths() if p not in before)
+        return out
+
+    return call
+
+
+#: A stage's result must be written before the next stage is called.
 STAGES = [
-    ("language", language), ("line dedup", lines), ("near copies", near_copies), ("benchmark", benchmark), ("tokens", tokens),
+    ("language", _tidy(language)), ("line dedup", _tidy(lines)), ("near copies", _tidy(near_copies)),
+    ("benchmark", _tidy(benchmark)), ("tokens", _tidy(tokens)),
 ]
 
 #: Language models and token ids have no SQL form; tests hold the rows against brute force.
