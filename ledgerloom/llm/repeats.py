@@ -3,7 +3,8 @@
 The suffixes of a text's words are sorted by prefix doubling, ranks are kept per round, and the longest common prefixes of
 neighbours follow from the ranks. The intervals of the suffix array whose common prefix is longer than that of their
 surroundings are the repeated runs of words that cannot be made longer to the right; those whose occurrences are not all
-preceded by the same word are maximal. The union of their occurrences and the longest of them are limited.
+preceded by the same word are maximal. The union of their occurrences and the longest of them are limited. Inside long
+words, which stand for text without blanks, repeated strings of characters are part of that union.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import annotate
+from .common import annotate, mix
 
-#: Windows of so many words are looked for by the base rule, and shorter repeats are no repeats to the method.
+#: Windows of so many words are looked for by the base rule.
 WINDOW = 8
+#: Shorter repeats are no repeats to the method: words, and characters inside words of more than `LONG_WORD` characters.
+LEAST_WORDS, LEAST_CHARS, LONG_WORD = 4, 20, 40
 #: The base rule: fewest words, and most words in repeated windows, in percent.
 FEWEST_WORDS, MOST_REPEATED = 20, 30
 #: The method's limits: share of a text's characters in maximal repeats, and words of the longest repeat.
 MOST_COVERED, LONGEST_REPEAT = 0.3, 100
 
-#: Words whose suffixes are sorted together.
-AT_ONCE = 1 << 18
+#: Words whose suffixes are sorted together, and characters of long words looked at together.
+AT_ONCE, CHARS_AT_ONCE = 1 << 18, 1 << 20
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -127,10 +130,10 @@ def maximal_repeats(ids: np.ndarray, order: np.ndarray, common: np.ndarray, leas
 
 
 class Rules:
-    """Counts and repeats of a batch of texts."""
+    """Counts and repeats of a batch of texts: windows of `window` words, repeats of `least` words or more."""
 
-    def __init__(self, window: int) -> None:
-        self.window = window
+    def __init__(self, window: int, least: int | None = None) -> None:
+        self.window, self.least = window, window if least is None else least
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         rows: list[list] = []
@@ -163,9 +166,13 @@ class Rules:
         reach = np.zeros(len(data), np.int64)  # the longest repeat that starts at each word
         reach[order] = np.maximum(common, np.append(common[1:], 0))
         window = self._cover(np.where(reach >= self.window, self.window, 0))
-        whole = self._cover(np.where(reach >= self.window, reach, 0))
+        whole = self._cover(np.where(reach >= self.least, reach, 0))
         lengths = np.array([len(w.decode()) for words in texts for w in [*words, b""]])
-        repeats = maximal_repeats(data, order, common, self.window)
+        covered = np.where(whole, lengths, 0)
+        long = np.flatnonzero((lengths > LONG_WORD) & ~whole)
+        if len(long):
+            covered[long] = self._inside(texts, starts, np.flatnonzero(lengths > LONG_WORD), lengths)[long]
+        repeats = maximal_repeats(data, order, common, self.least)
         number = np.bincount(
             np.searchsorted(starts, order[[r[1] for r in repeats]], "right") - 1, minlength=len(texts)
         ) if repeats else np.zeros(len(texts), np.int64)
@@ -180,10 +187,42 @@ class Rules:
             spans = [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
             out.append([
                 int(window[start : start + size].sum()), int(number[k]), int(longest[k]),
-                int(lengths[start : start + size][own].sum()), spans,
+                int(covered[start : start + size].sum()), spans,
             ])
         return out
 
+    def _inside(
+        self, texts: list[list[bytes]], starts: np.ndarray, long: np.ndarray, lengths: np.ndarray
+    ) -> np.ndarray:
+        """Per word, the characters of a long one in strings that occur more than once in the long words of its text.
+
+        The union of all repeats of `LEAST_CHARS` or more is that of the repeated strings of just so many characters; these
+        are told apart by 64-bit hashes. `long` are the places of the long words.
+        """
+        out = np.zeros(len(lengths), np.int64)
+        owner = np.searchsorted(starts, long, "right") - 1
+        at = 0
+        while at < len(long):
+            end, size = at, 0
+            while end < len(long) and (size < CHARS_AT_ONCE or owner[end] == owner[end - 1]):
+                size += lengths[long[end]]
+                end += 1
+            own, places = owner[at:end], long[at:end]
+            words = [texts[k][place - starts[k]].decode() for k, place in zip(own, places, strict=True)]
+            codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+            word = np.repeat(np.arange(len(words)), lengths[places])
+            n = len(codes) - LEAST_CHARS + 1
+            token = own[word[:n]].astype(np.uint64)
+            for k in range(LEAST_CHARS):
+                token = mix(token * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
+            inside = np.flatnonzero(word[:n] == word[LEAST_CHARS - 1 :])
+            _, back, count = np.unique(token[inside], return_inverse=True, return_counts=True)
+            reach = np.zeros(len(codes), np.int64)
+            reach[inside[count[back] > 1]] = LEAST_CHARS
+            out[places] = np.bincount(word[self._cover(reach)], minlength=len(words))
+            at = end
+        return out
+
     @staticmethod
     def _cover(reach: np.ndarray) -> np.ndarray:
         """Which words lie within `reach` words from an earlier one or themselves."""
@@ -208,16 +247,17 @@ def _counts(text: str | None, words: list[bytes]) -> list[int]:
 
 def judge(
     docs: DataFrame, text: str = "text", window: int = WINDOW, most_covered: float = MOST_COVERED,
-    longest_repeat: int = LONGEST_REPEAT,
+    longest_repeat: int = LONGEST_REPEAT, least: int = LEAST_WORDS,
 ) -> DataFrame:
     """`docs` with the counts in `FIELDS`, `base_failed` and `kept`.
 
-    Words are runs of anything but ASCII blanks. `repeat_spans` are the runs of words in maximal repeats of `window` words
-    or more (first, behind the last); `covered_chars` are the characters of these words. A text is kept unless the base
-    rule fails it, more than `most_covered` of its word characters are covered, or its longest repeat has more than
+    Words are runs of anything but ASCII blanks. `repeat_spans` are the runs of words in maximal repeats of `least` words
+    or more (first, behind the last); `covered_chars` are the characters of these words, and of other long words those in
+    repeated strings of `LEAST_CHARS` or more. The base rule looks for windows of `window` words. A text is kept unless it
+    fails the base rule, more than `most_covered` of its word characters are covered, or its longest repeat has more than
     `longest_repeat` words. Null, empty and blank texts have no words and fail the base rule. Columns so named are replaced.
     """
-    counted = annotate(docs.drop("base_failed", "kept"), text, FIELDS, lambda: Rules(window))
+    counted = annotate(docs.drop("base_failed", "kept"), text, FIELDS, lambda: Rules(window, least))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     fine = (F.col("covered_chars") <= most_covered * F.col("word_chars")) & (F.col("longest_repeat") <= longest_repeat)
     return counted.withColumns({"base_failed": failed, "kept": ~failed & fine})

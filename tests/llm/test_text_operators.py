@@ -84,6 +84,24 @@ def test_quality_rules(docs, all_rows):
     assert repeats.judge(docs.limit(0)).count() == 0
 
 
+def test_short_repeats_are_not_kept(spark):
+    rng = random.Random(5)
+    stutter = " ".join(" ".join([f"s{k}"] * 5) for k in range(8))
+    blob = "".join(rng.choice("abcdefghij漢字") for _ in range(30)) * 10
+    other = ["".join(rng.choice("klmnopqrst") for _ in range(300)) for _ in range(2)]
+    plain = " ".join(f"w{k}" for k in range(30))
+    texts = [stutter, f"{plain} {blob}", f"{plain} {other[0]}", f"{plain} {other[0]} {other[1]}", plain]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeats.judge(table).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in rows] == [0] * 5 and not any(r.base_failed for r in rows)
+    assert [r.kept for r in rows] == [False, False, True, True, True]
+    assert [r.covered_chars for r in rows] == [5 * 8 * 2, 300, 0, 0, 0]
+    # Strings that two texts share repeat in neither.
+    assert repeats.Rules(8, 4)._repeats([[x.encode()] for x in (other[0], other[0], other[0] + other[0])]) == [
+        [0, 0, 0, 0, []], [0, 0, 0, 0, []], [0, 0, 0, 600, []]
+    ]
+
+
 # Decontamination
 
 ITEMS = [
