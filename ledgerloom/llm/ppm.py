@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import annotate
 
 #: Bytes of a context at most.
 ORDER = 4
-#: Bytes of text per language that a model is fitted on, at most; whole texts in the order of a hash of their id.
+#: Bytes of text per language that a model is fitted on, at most; texts in the order of a hash of their id, the last cut.
 FIT_BYTES = 2_000_000
 
 #: Five-byte windows a worker keeps the code lengths of (slots of a table), and windows scored at once.
@@ -53,19 +53,37 @@ def _codes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, label: str, text: str, key: str, fit_bytes: int = FIT_BYTES) -> DataFrame:
-    """At most `fit_bytes` of labelled text per label: whole texts, the first in the order of a hash of the key."""
+    """The first `fit_bytes` of labelled text per label, or all there is, in the order of a hash of the key.
+
+    Of the text that crosses the bound only its beginning is taken, so a long text leaves no label short of its bytes.
+    """
+    # The hash without its lowest bit, so that it is positive; a text's size is what it can bring at most.
+    order, size = F.shiftrightunsigned(F.xxhash64(F.col(key)), 1), F.least(F.octet_length(F.col(text)), F.lit(fit_bytes))
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).cast("string").alias("label"), F.col(text).alias("text"),
-        F.octet_length(F.col(text)).cast("long").alias("size"), F.xxhash64(F.col(key)).alias("order"),
+        F.col(label).cast("string").alias("label"), F.col(text).alias("text"), size.cast("long").alias("size"),
+        order.alias("order"), F.length(F.bin(order)).alias("scale"),
     )
-    totals = {r["label"]: r["bytes"] for r in rows.groupBy("label").agg(F.sum("size").alias("bytes")).collect()}
-    if not totals:
-        return rows.limit(0)
-    # Twice the share that is needed, so that a window need only see that much.
-    share = F.create_map(*[F.lit(x) for k, b in totals.items() for x in (k, min(1.0, 2 * fit_bytes / max(b, 1)))])
-    near = rows.where(F.pmod("order", F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
-    so_far = F.sum("size").over(W.partitionBy("label").orderBy("order", "text").rowsBetween(W.unboundedPreceding, 0))
-    return near.withColumn("so_far", so_far).where(F.col("so_far") <= fit_bytes).drop("so_far", "order", "size")
+    # Each scale holds twice the hashes of the one before; the scales up to the bound are all that the window need see.
+    reach: dict[str, int] = {}
+    so_far: dict[str, int] = {}
+    for r in rows.groupBy("label", "scale").agg(F.sum("size").alias("bytes")).orderBy("label", "scale").collect():
+        if so_far.get(r["label"], 0) < fit_bytes:
+            reach[r["label"]] = r["scale"]
+        so_far[r["label"]] = so_far.get(r["label"], 0) + r["bytes"]
+    if not reach:
+        return rows.select("label", "text").limit(0)
+    last = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])
+    near = rows.where(F.col("scale") <= last[F.col("label")]).withColumn("text", _first_bytes("text", F.lit(fit_bytes)))
+    before = F.sum("size").over(W.partitionBy("label").orderBy("order", "text").rowsBetween(W.unboundedPreceding, -1))
+    room = (fit_bytes - F.coalesce(before, F.lit(0))).cast("int")
+    taken = near.withColumn("room", room).where("room > 0")
+    return taken.select("label", _first_bytes("text", F.col("room")).alias("text"))
+
+
+def _first_bytes(text: str, n: Column) -> Column:
+    """At most `n` bytes from the beginning of a text; a character that would be cut goes too."""
+    piece = F.make_valid_utf8(F.substring(F.col(text).cast("binary"), F.lit(1), n).cast("string"))
+    return F.when(F.octet_length(text) <= n, F.col(text)).otherwise(F.regexp_replace(piece, "\ufffd+$", ""))
 
 
 @dataclass
@@ -122,7 +140,7 @@ def _count(batches):
             for size in range(1, ORDER + 2):
                 code, n = np.unique(_codes(data, size), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([label] * len(code)), pa.array(np.full(len(code), size, np.int32)), pa.array(code), pa.array(n)],
+                    [pa.array([label] * len(code), pa.string()), pa.array(np.full(len(code), size, np.int32)), pa.array(code), pa.array(n)],
                     names=["label", "size", "code", "n"],
                 )
 

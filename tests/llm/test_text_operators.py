@@ -234,6 +234,33 @@ def test_language_of_documents(spark, docs, all_rows):
     assert right > 0.98
 
 
+def test_long_texts_leave_no_language_out(spark):
+    """Every language gets its first bytes in the order of the hash, whatever the sizes of its texts."""
+    rng, bound = random.Random(8), 1000
+    sizes = {
+        "first": [3000], "both": [5000, 4000], "rest": [400] * 3 + [2500] + [10] * 40, "few": [300, 200], "many": [50] * 400,
+        "same": [bound] * 12, "none": [0],
+    }
+    table = [
+        (f"{lang}{k}", lang, "".join(rng.choice("abcé漢 ") for _ in range(n))) for lang, own in sizes.items()
+        for k, n in enumerate(own)
+    ]
+    docs = spark.createDataFrame(table, "id string, lang string, text string").repartition(3)
+    hashed = docs.select("lang", "text", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h")).orderBy("h").collect()
+    got = collections.defaultdict(list)
+    for r in ppm.sample(docs, "lang", "text", "id", bound).collect():
+        got[r.label].append(r.text)
+    for lang in sizes:
+        want, left = [], bound
+        for r in hashed:
+            if r.lang == lang and left > 0:
+                want.append(r.text.encode()[:left].decode(errors="ignore"))
+                left -= len(r.text.encode())
+        assert sorted(got[lang]) == sorted(want), lang
+    model = ppm.Model.fit(docs, "lang", "text", "id", bound)
+    assert set(model.languages) >= set(sizes) - {"none"}
+
+
 # Quality
 
 
