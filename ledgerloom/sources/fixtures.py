@@ -24,6 +24,29 @@ CHECK = {
     "micros": "epoch_us(ts)", "text": "varchar",
 }
 
+# Row texts put together from what each mining rule looks at: a key, its place, and the words around it.
+_PARTS = {
+    "marked_text": ("'fee INV'", "{key 80000}", "', '", "lower(n_name)"),
+    "opening_text": ("{key 600000}", "'    '", "lower(n_name)"),
+    "worded_text": ("lower(n_name)", "' depot '", "{key 840000}", "' wired'"),
+    "dated_text": ("'period to '", "'9/30/24'", "' '", "lower(n_name)"),
+    "plain_text": ("lower(n_name)", "' site upkeep'"),
+    "project_text": ("'counsel, Project '", "n_name"),
+    "full_text": ("'premium of the building, second quarter: '", "'INV.'", "{key 440000}"),
+    "short_text": ("'box 417, '", "lower(n_name)"),
+    "second_text": ("'INV: '", "{key 770000}", "'/C'"),
+}
+
+
+def _texts(kind: str) -> dict[str, str]:
+    """The texts as SQL; `kind` is the engine's name for text."""
+    put = lambda p: f"cast(o_orderkey + {p[5:-1]} as {kind})" if p.startswith("{key ") else p
+    return {name: f"concat({', '.join(map(put, parts))})" for name, parts in _PARTS.items()}
+
+
+for _engine in (SPARK, CHECK):
+    _engine.update(_texts(_engine["text"]))
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -45,20 +68,20 @@ select cast(o_orderkey + 2 as bigint) as row_idx,
  o_orderkey % 17 = 0 as amount_was_blank,
  case when n_regionkey = 3 then 'EUR' when n_regionkey = 2 then 'JPY' when o_orderkey % 29 = 0 then 'UNKNOWN' else 'USD' end as currency,
  case o_orderkey % 12
-  when 0 then concat('Brightwater INV', cast(80000 + o_orderkey as {text}), ' of May')
-  when 1 then concat(cast(600000 + o_orderkey as {text}), '         Harbour works')
-  when 2 then concat('Supplier Marlow ', cast(840000 + o_orderkey as {text}), ' transfer done')
-  when 3 then 'Rent due 03/09/23 remainder'
-  when 4 then 'Twin-Tower Bond III'
-  when 5 then 'Reclass prior quarter'
-  when 6 then concat('Legal fees Project ', n_name)
-  when 7 then concat('Third transfer for the garden upkeep  INV#', cast(440000 + o_orderkey as {text}))
+  when 0 then {marked_text}
+  when 1 then {opening_text}
+  when 2 then {worded_text}
+  when 3 then {dated_text}
+  when 4 then {plain_text}
+  when 5 then 'part of a reclass'
+  when 6 then {project_text}
+  when 7 then {full_text}
   when 8 then null
-  when 9 then 'Ticket No 417 closed'
-  when 10 then 'Merger advisory accrual'
+  when 9 then {short_text}
+  when 10 then 'merger costs set aside'
   else 'Monthly rent' end as descrptn,
- case when o_orderkey % 8 = 0 then concat('see INV-', cast(770000 + o_orderkey as {text}), '/C in file')
-      when o_orderkey % 31 = 0 then 'RECLASSIFIED to 6455' else null end as adddesc,
+ case when o_orderkey % 8 = 0 then {second_text}
+      when o_orderkey % 31 = 0 then 'RECLASSIFICATION, second half' else null end as adddesc,
  o_orderstatus as source,
  cast(cast(o_orderdate as date) as {text}) as entrdate,
  case when o_orderkey % 7 = 0 then 'closegl ' else concat('user', cast(o_custkey % 9 as {text})) end as userid,

@@ -9,6 +9,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from ledger_rows import LEDGER_SCHEMA, ledger_row  # noqa: E402
+
 from ledgerloom.session import build_session  # noqa: E402
 
 
@@ -20,24 +22,6 @@ def spark():
     session.stop()
 
 
-LEDGER_SCHEMA = (
-    "row_idx long, period string, acctnum string, ref string, entityid string, department string, category string, "
-    "amount double, amount_was_blank boolean, currency string, descrptn string, adddesc string, source string, "
-    "entrdate string, userid string, invoice_url string"
-)
-
-
-def ledger_row(row_idx: int, **values):
-    row = {
-        "row_idx": row_idx, "period": "202601", "acctnum": "MR70000001", "ref": str(row_idx), "entityid": "7",
-        "department": None, "category": "Rent", "amount": 1500.0, "amount_was_blank": False, "currency": "USD",
-        "descrptn": "Monthly rent", "adddesc": None, "source": "AP", "entrdate": "2026-01-15", "userid": "jdoe",
-        "invoice_url": None,
-    }
-    row.update(values)
-    return tuple(row.values())
-
-
 @pytest.fixture
 def make_ledger(spark):
     return lambda rows: spark.createDataFrame([ledger_row(i, **v) for i, v in enumerate(rows, start=2)], LEDGER_SCHEMA)

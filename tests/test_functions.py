@@ -10,31 +10,39 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cleaning, documents, mining, pages, periods, reporting, tokens
 
-from conftest import LEDGER_SCHEMA, ledger_row
+from ledger_rows import LEDGER_SCHEMA, ledger_row
 
 
 def values(spark, schema, rows, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(column).collect()]
 
 
+# One case per branch and border of the three rules: a marked key, a code that opens the text, a code beside a word.
 KEYS = [
-    ("Brightwater Group INV5550012345 of May", "5550012345"),  # prefixed, no sign between
-    ("3141592         Harbour works", "3141592"),  # at the start, then a gap
-    ("monthly bill INV#9071 for cleaning", "9071"),
-    ("see INV-660214 in file", "660214"),
-    ("waiting for INV:70133 still", "70133"),
-    ("copy of INV-7045/C enclosed", "7045C"),  # signs inside go
-    ("Supplier Marlow 73190 transfer done", "73190"),  # a number between words
-    ("Rent due 03/09/23 remainder", None),  # a date is no key
-    ("Ticket No 417 closed", None),  # too short
-    ("Twin-Tower Bond III", None),
-    ("Card charge", None),
-    ("Half-Year Catch-Up booking", None),
-    ("INV-wxyz then INV-6071 settled", "6071"),  # letters alone are no key
-    ("INV-wxyz then INV-6071", "6071"),
-    ("INV-wxyz INV-6071 34", None),
-    ("60417 single", "60417"),
-    ("654321 88", None),
+    *[(f"INV{sign}8A20", "8A20") for sign in ("", " ", "#", "-", ".", ":", " #-.: ")],  # every sign between mark and key
+    ("inv 8a20", "8A20"),  # either case
+    ("INV 8A2", None),  # three characters are too few for a marked key
+    ("REINV 8A20", None),  # the mark must open a word
+    ("INV 12-34/56 paid", "123456"),  # signs inside a key go
+    ("INV 12/11/2024 paper 99887", "99887"),  # a date is refused, the next rule is asked
+    ("INV ABCD", None),  # so are letters alone
+    ("INV ABCD copy INV 4455", None),  # only the first mark counts, and four characters are too few beside a word
+    ("INV ABCD copy INV 44556", "44556"),
+    ("77001  ", "77001"),  # two blanks behind the opening code
+    ("77001 ", None),  # one blank, and no word beside it
+    ("7700  lamp", None),  # four characters are too few there
+    ("AB-7.1/2   lamp", "AB712"),
+    ("1/2/2024  lamp", None),
+    ("lamp 77001", "77001"),  # before and behind a word
+    ("77001 lamp", "77001"),
+    ("77001 of it", None),  # two letters are no word
+    ("lamp (77001), desk", "77001"),  # punctuation around a code is cut
+    ("lamp 77_001", None),  # other signs are not
+    ("lamp 7700", None),
+    ("lamp colour", None),
+    ("lamp 1/2/2024 desk 88112", "88112"),
+    ("", None),
+    (None, None),
 ]
 
 
@@ -44,12 +52,15 @@ def test_mined_keys(spark):
 
 
 def test_key_of_second_text_and_truncation(spark):
-    cut = "Third transfer for garden upkeep of INV44712"
-    rows = [(cut, None), (cut + " x", None), ("Card charge", "see INV-1234567890123456789012345678901234567890"), ("x INV12345", None)]
+    def full(n):  # a text of n characters that a key ends
+        return "x" * (n - 10) + " INV 50607"
+
+    long_key = "7" * 45
+    rows = [(full(40), None), (full(39), None), (full(40) + " end", None), ("plain", f"INV {long_key}"), ("INV 1a2b", "INV 99999")]
     mined = mining.mine_invoice_key(F.col("d"), F.col("a"))
     got = values(spark, "d string, a string", rows, mined)
     assert [(r.key, r.truncated) for r in got] == [
-        ("44712", True), ("44712", False), ("1234567890123456789012345678901234567890", False), ("12345", False)
+        ("50607", True), ("50607", False), ("50607", False), (long_key, False), ("1A2B", False)
     ]
 
 

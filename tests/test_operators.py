@@ -317,9 +317,9 @@ def test_evidence_is_whole_or_cut_at_the_cell_limit(spark):
 
 def test_known_deals_match_whole_words(spark, make_ledger):
     names = spark.createDataFrame([("project red", "Project Red"), ("redwood", "Redwood")], "deal_key string, name string")
-    terms = spark.createDataFrame([("redwood", "matter_numbers", "M-12"), ("redwood", "advisors_seen", "Harbour"), ("project red", "aliases", "M-12")], "deal_key string, field string, value string")
+    terms = spark.createDataFrame([("redwood", "matter_numbers", "M-12"), ("redwood", "advisors_seen", "Quillon"), ("project red", "aliases", "M-12")], "deal_key string, field string, value string")
     ledger = make_ledger([
-        {"descrptn": "fee PROJECT  red, closing"}, {"descrptn": "projectred Redwoods"}, {"descrptn": "x", "adddesc": "ref m/12 Harbour"},
+        {"descrptn": "fee PROJECT  red, closing"}, {"descrptn": "projectred Redwoods"}, {"descrptn": "x", "adddesc": "ref m/12 Quillon"},
         {"descrptn": "Redwood and project red"}, {"descrptn": None},
     ])
     got = rows(deals.match_deals(ledger, deals.deal_dictionary(names, terms)), "row_idx", "deal_key", "n_phrases")

@@ -37,7 +37,7 @@ def test_scope_filter_reaches_the_scan_and_prunes_columns(spark, tmp_path, make_
 
 
 def test_rows_carry_no_document_text(spark, make_ledger):
-    ledger = make_ledger([{"invoice_url": "http://x/long"}, {"descrptn": "Supplier Marlow 73190 paid"}])
+    ledger = make_ledger([{"invoice_url": "http://x/long"}, {"descrptn": "depot 73190 wired"}])
     bodies = spark.createDataFrame([("http://x/long", "text/plain", "y" * 400, 0)], "url string, content_type string, body string, page_count int")
     files = spark.createDataFrame([("73190", 10, "%PDF-", "sha", 3, "z" * 800)], "stem string, size_bytes long, head string, sha256 string, page_count int, text string")
     lookup = spark.createDataFrame([], "vendor_invoice_no string, invoice_key string, gnl_ref string, pages string, gl_entityids string, csv_row long")

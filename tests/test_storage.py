@@ -112,7 +112,7 @@ def test_annotation_is_idempotent_and_written_by_period(spark, tmp_path, make_le
 
 def test_whole_run_keeps_every_row(spark, tmp_path, make_ledger):
     ledger = make_ledger([
-        {"descrptn": "reclass"}, {"userid": "CLOSEGL"}, {"amount": -5000.0}, {"descrptn": "Supplier Marlow 73190 paid"}, {"invoice_url": "http://x/1"},
+        {"descrptn": "reclass"}, {"userid": "CLOSEGL"}, {"amount": -5000.0}, {"descrptn": "depot 73190 wired"}, {"invoice_url": "http://x/1"},
         {"acctnum": "MR58200000"}, {"acctnum": "MR58200000", "period": "202512"}, {"amount": 1.0},
     ])
     bodies = spark.createDataFrame([("http://x/1", "text/plain", "invoice total", 1)], "url string, content_type string, body string, page_count int")
