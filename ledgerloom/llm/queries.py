@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import aliases, bpe, decontaminate, line_dedup, nbsvm, parity_join, ppm, pseudonyms, repeats, reshard
+from . import (
+    aliases, alignment, bpe, decontaminate, line_dedup, nbsvm, negatives, parity_join, ppm, pseudonyms, repeats, reshard, secrets,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,3 +213,52 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_hash_mod("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = F.filter("secrets", lambda s: s["layers"] == "")
+    number = lambda kind: F.size(F.filter(shown, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(number, secrets.KINDS), F.sha2(secrets.written(shown), 256).alias("base_sha256"),
+        secrets.written(F.col("secrets")).alias("spans"), "n_layers", "n_unread",
+    )
+
+
+@query("op12_hard_negatives", sql="""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), u as (
+  select vec_id, label, v from r group by all
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+    list_inner_product(a.v::double[], b.v::double[])::bigint as score
+  from u a join u b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank,
+  id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, id) <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(
+        _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 50 == 0
+    )
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(documents, TOKENIZER, public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.with_counts(groups=digest).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
