@@ -26,11 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
 from .bpe import _byte_letters
+from .common import mix
 
 #: Bytes of text that are tokenised at a time, and after which a block of documents ends. A longer text is one block.
-AT_ONCE, BLOCK_BYTES = 1 << 19, 8 << 20
+AT_ONCE, BLOCK_BYTES = 1 << 21, 4 << 20
 #: Window alignments a worker remembers before it starts afresh, and the most tokens of a window that is remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 _COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")])
 _GROUPS = T.StructField("groups", T.StringType())
@@ -42,48 +43,57 @@ _INNER = T.StructType([
 ])
 
 
+#: The rule by which byte-level BPE cuts a text before any merge; a fixed value of that format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, a: str, b: bytes) -> None:
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = tokenizers.Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        model = json.loads(a)["model"]
         letter = {c: bytes([k]) for k, c in enumerate(_byte_letters())}
-        vocabulary = json.loads(a)["model"]["vocab"]
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, k in vocabulary.items():
-            self.bytes_a[k] = b"".join(letter.get(c, c.encode()) for c in token)
+        # Special tokens are ordinary text here; they are no product of a merge.
+        merged = {"".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]}
+        ranks = {
+            b"".join(letter[c] for c in token): k for token, k in model["vocab"].items() if len(token) == 1 or token in merged
+        }
+        order = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if order != sorted(order):
+            raise ValueError("ids of this vocabulary do not follow its merges")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            self.bytes_a[k] = token
         pieces = range(self.b.get_piece_size())
         self.bytes_b = [
             bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k)
             else self.b.id_to_piece(k).replace("▁", " ").encode() for k in pieces
         ]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.blank_a, self.blank_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         # Ids as text, and whether they end their part of a group.
         self.text_a, self.text_b = (
             np.array([[f"{k}{sign}" for k in range(len(t))] for sign in signs], object)
             for t, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))
         )
-        self.blank_a, self.blank_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each text with a blank before it; none where the bytes of the tokens do not give it back."""
+    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of each text with a blank before it; none where the bytes of the tokens do not give it back.
+
+        The tokens of A always give it back; those of B are joined and compared.
+        """
+        none = np.empty(0, np.int32)
+        ids_a, ids_b = [none] * len(texts), [none] * len(texts)
         some = [k for k, t in enumerate(texts) if t]
-        one = self.a.encode_batch([" " + texts[k] for k in some], add_special_tokens=False)
-        two = self.b.encode([texts[k] for k in some], num_threads=1) if some else []
-        ids_a: list[list[int]] = [[] for _ in texts]
-        ids_b: list[list[int]] = [[] for _ in texts]
-        for k, e, b in zip(some, one, two, strict=True):
-            a, data = e.ids, b" " + texts[k].encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b)):
-                ids_a[k], ids_b[k] = a, b
+        for k, b in zip(some, self.b.encode([texts[k] for k in some], num_threads=1) if some else [], strict=True):
+            if b"".join(map(self.bytes_b.__getitem__, b)) == b" " + texts[k].encode():
+                ids_a[k] = self.a.encode_to_numpy(" " + texts[k], disallowed_special=()).view(np.int32)
+                ids_b[k] = np.array(b, np.int32)
         return ids_a, ids_b
 
 
@@ -107,6 +117,25 @@ class Block:
         return pairs, times, place.astype(np.int32), sizes.astype(np.int32)
 
 
+def _alike(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of equal windows each, and for every window its place among these."""
+    if not len(cut_a):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sums = np.zeros(len(cut_a), np.uint64)
+    sides = []
+    for ids, cut, salt in ((a, cut_a, 1), (b, cut_b, 2)):
+        start = np.append(0, cut[:-1])
+        place = np.arange(len(ids)) - np.repeat(start, cut - start)
+        sums += np.add.reduceat(mix((ids.astype(np.uint64) << np.uint64(32)) + (place * 4 + salt).astype(np.uint64)), start)
+        sides.append((ids, start, cut - start, place))
+    _, first, of = np.unique(sums, return_index=True, return_inverse=True)
+    for ids, start, size, place in sides:  # equal sums are not taken for granted
+        same = (size[first][of] == size).all() and (ids[np.repeat(start[first][of], size) + place] == ids).all()
+        if not same:
+            return np.arange(len(cut_a)), np.arange(len(cut_a))
+    return first, of
+
+
 class Aligner:
     """One task's work: windows by their id tuples, and what this worker remembers of them."""
 
@@ -151,32 +180,32 @@ class Aligner:
     def align(self, texts: list[str | None], block: Block) -> list[list]:
         """For each text the numbers of tokens, groups and links, the groups, and its windows in the block."""
         ids_a, ids_b = self.both.tokens(texts)
-        a, b = (np.concatenate([np.array(x, np.int32) for x in ids] or [np.empty(0, np.int32)]) for ids in (ids_a, ids_b))
+        a, b = (np.concatenate([np.empty(0, np.int32), *ids]) for ids in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(self.both.sizes_a[a]), np.cumsum(self.both.sizes_b[b])
         # A window ends where a token of both ends, and both next tokens begin with a blank or another text begins.
         at_a = np.searchsorted(ends_a, ends_b)
-        at_a[at_a == len(a)] = 0
-        shared = np.flatnonzero(ends_a[at_a] == ends_b) if len(a) else np.empty(0, np.int64)
+        shared = np.flatnonzero(ends_a[at_a] == ends_b)
         next_a, next_b = at_a[shared] + 1, shared + 1
         blank = np.append(self.both.blank_a[a], True)[next_a] & np.append(self.both.blank_b[b], True)[next_b]
-        n_a, n_b = (np.array([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        last = np.isin(next_b, np.cumsum(n_b))
-        cut_a, cut_b = (x[blank | last].tolist() for x in (next_a, next_b))
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        cut = blank | np.isin(next_b, np.cumsum(n_b))
+        cut_a, cut_b = next_a[cut], next_b[cut]
+        first, numbers = _alike(a, b, cut_a, cut_b)
         packed_a, packed_b = a.tobytes(), b.tobytes()
         known = len(block.number)
         number = block.number.setdefault
-        numbers = np.array([
-            number((packed_a[4 * i : 4 * k], packed_b[4 * j : 4 * m]), len(block.number))
-            for i, k, j, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b, strict=False)
-        ], np.int32)
+        starts = (np.append(0, x)[:-1][first] * 4 for x in (cut_a, cut_b))
+        stops = (x[first] * 4 for x in (cut_a, cut_b))
+        ranges = zip(*(x.tolist() for pair in zip(starts, stops, strict=True) for x in pair), strict=True)
+        numbers = np.array(
+            [number((packed_a[i:k], packed_b[j:m]), len(block.number)) for i, k, j, m in ranges], np.int32
+        )[numbers]
         for text, groups, links in self._remember(list(islice(block.number, known, None))):
             block.groups.append(text)
             block.n_groups.append(groups)
             block.links.append(links)
         block.used.append(numbers)
         stops = np.searchsorted(cut_b, np.cumsum(n_b), "right")
-        stops[n_b == 0] = 0  # their end is that of the text before
-        stops = np.maximum.accumulate(stops) if len(stops) else stops
         starts = np.append(0, stops[:-1]) if len(stops) else stops
         n_groups = np.append(0, np.cumsum(np.array(block.n_groups, np.int64)[numbers]))
         n_links = np.append(0, np.cumsum(np.array([len(x) // 8 for x in block.links], np.int64)[numbers]))

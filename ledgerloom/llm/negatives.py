@@ -378,6 +378,7 @@ def mine(
     out = spark.createDataFrame([], schema)
     if not space.rows:
         return out
+    assert space.kind  # or the vectors are refused here
     blocks = _blocks(whole, space, positives)
     for anchors in _slices(blocks, space):
         out = out.unionByName(_one_slice(spark, blocks, space, anchors, positives, negatives, low, high))

@@ -59,6 +59,16 @@ ODD = [
 ]
 
 
+def test_the_rule_of_cutting_is_that_of_the_library():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        both = alignment.Tokenizers(f.read(), g.read())
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    for start in range(0, 0x3000, 64):
+        text = " ".join(f"a{c}b 1{c}2 {c} .{c}{c} {c}x\n{c}'s" for c in map(chr, range(start, start + 64)))
+        assert both.a.encode_to_numpy(text, disallowed_special=()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def random_texts(n):
     rnd = random.Random(5)
     words = ["the", "window", "tokenisation", "Straße", "función", "漢", "a1b2", "--", "x\n", "", "🙂", "supercalifragilistic"]
