@@ -11,8 +11,8 @@ pairs, its documents are lists of window numbers, and only dictionaries are exch
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -29,20 +29,30 @@ from .bpe import _byte_letters
 from .common import mix
 
 #: Bytes of text that are tokenised at a time, and after which a block of documents ends. A longer text is one block.
-AT_ONCE, BLOCK_BYTES = 1 << 21, 4 << 20
+AT_ONCE, BLOCK_BYTES = 1 << 20, 4 << 20
 #: Window alignments a worker remembers before it starts afresh, and the most tokens of a window that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 _COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")])
-_GROUPS = T.StructField("groups", T.StringType())
 _INNER = T.StructType([
-    T.StructField("__block", T.LongType()), T.StructField("__windows", T.ArrayType(T.IntegerType())),
+    # Lists of numbers are packed: see `_pack`.
+    T.StructField("__block", T.LongType()), T.StructField("__windows", T.BinaryType()),
     # A row for each block, without a document: its id pairs, how often they are linked, and the pairs of each window.
     T.StructField("__pairs", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType())),
-    T.StructField("__window_pairs", T.ArrayType(T.IntegerType())), T.StructField("__window_sizes", T.ArrayType(T.IntegerType())),
+    T.StructField("__window_pairs", T.BinaryType()), T.StructField("__window_sizes", T.BinaryType()),
 ])
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, each in as many bytes as the greatest needs; the first byte says how many."""
+    wide = 1 if (top := int(numbers.max(initial=0))) < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([wide]) + numbers.astype(f"<u{wide}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 #: The rule by which byte-level BPE cuts a text before any merge; a fixed value of that format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -97,11 +107,19 @@ class Tokenizers:
         return ids_a, ids_b
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Block:
-    """The windows that a block of documents has met."""
+    """The windows that a block of documents has met, by their id tuples: how many are of A, these, and those of B."""
 
     def __init__(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number = Numbers()
         self.groups: list[str] = []
         self.n_groups: list[int] = []
         self.links: list[bytes] = []
@@ -114,7 +132,7 @@ class Block:
         used = np.bincount(np.concatenate(self.used), minlength=len(sizes)) if self.used else np.zeros(0, np.int64)
         pairs, place = np.unique(np.frombuffer(b"".join(self.links), np.int64), return_inverse=True)
         times = np.bincount(place, np.repeat(used, sizes), len(pairs)).astype(np.int64)
-        return pairs, times, place.astype(np.int32), sizes.astype(np.int32)
+        return pairs, times, place, sizes
 
 
 def _alike(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +183,28 @@ class Aligner:
             )
         ]
 
-    def _remember(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[str, int, bytes]]:
+    def _remember(self, keys: list[bytes]) -> list[tuple[str, int, bytes]]:
         """The alignments of windows; those not met before are worked out together."""
-        new = [k for k in keys if k not in self.memo]
-        a, b = (np.frombuffer(b"".join(x), np.int32) for x in (zip(*new, strict=True) if new else ((), ())))
-        n_a, n_b = (np.array([len(k[x]) // 4 for k in new], np.int64) for x in (0, 1))
-        found = dict(zip(new, self._worked_out(a, b, n_a, n_b), strict=True)) if new else {}
-        out = [found[k] if k in found else self.memo[k] for k in keys]
-        if len(self.memo) + len(found) > REMEMBERED:
-            self.memo.clear()
-        self.memo.update((k, v) for k, v in found.items() if len(k[0]) <= 4 * LONGEST and len(k[1]) <= 4 * LONGEST)
+        memo = self.memo
+        new = [k for k in keys if k not in memo]
+        if len(memo) + len(new) > REMEMBERED:
+            out = [memo.get(k) for k in keys]
+            memo.clear()
+        else:
+            out = None
+        if new:
+            flat = np.frombuffer(b"".join(new), np.int32)
+            sizes = np.array([len(k) for k in new], np.int64) // 4
+            starts = np.cumsum(sizes) - sizes
+            n_a = flat[starts].astype(np.int64)
+            place = np.arange(len(flat)) - np.repeat(starts, sizes)
+            of_a = place <= np.repeat(n_a, sizes)
+            a, b = flat[of_a & (place > 0)], flat[~of_a]
+            found = self._worked_out(a, b, n_a, sizes - 1 - n_a)
+            memo.update(zip(new, found, strict=True))
+        out = [memo[k] for k in keys] if out is None else [memo[k] if x is None else x for k, x in zip(keys, out, strict=True)]
+        for k in np.flatnonzero(sizes > LONGEST).tolist() if new else ():
+            del memo[new[k]]
         return out
 
     def align(self, texts: list[str | None], block: Block) -> list[list]:
@@ -191,15 +221,21 @@ class Aligner:
         cut = blank | np.isin(next_b, np.cumsum(n_b))
         cut_a, cut_b = next_a[cut], next_b[cut]
         first, numbers = _alike(a, b, cut_a, cut_b)
-        packed_a, packed_b = a.tobytes(), b.tobytes()
+        # The id tuples of the windows that differ, one after the other.
+        (from_a, of_a), (from_b, of_b) = (
+            (start, x[first] - start) for x in (cut_a, cut_b) for start in [np.append(0, x)[:-1][first]]
+        )
+        stops = np.cumsum(1 + of_a + of_b)
+        starts = stops - 1 - of_a - of_b
+        packed = np.empty(int(stops[-1]) if len(stops) else 0, np.int32)
+        packed[starts] = of_a
+        for ids, start, size, into in ((a, from_a, of_a, starts + 1), (b, from_b, of_b, starts + 1 + of_a)):
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            packed[np.repeat(into, size) + place] = ids[np.repeat(start, size) + place]
+        whole = packed.tobytes()
         known = len(block.number)
-        number = block.number.setdefault
-        starts = (np.append(0, x)[:-1][first] * 4 for x in (cut_a, cut_b))
-        stops = (x[first] * 4 for x in (cut_a, cut_b))
-        ranges = zip(*(x.tolist() for pair in zip(starts, stops, strict=True) for x in pair), strict=True)
-        numbers = np.array(
-            [number((packed_a[i:k], packed_b[j:m]), len(block.number)) for i, k, j, m in ranges], np.int32
-        )[numbers]
+        keys = [whole[i:j] for i, j in zip((starts * 4).tolist(), (stops * 4).tolist(), strict=True)]
+        numbers = np.array(list(map(block.number.__getitem__, keys)), np.int32)[numbers]
         for text, groups, links in self._remember(list(islice(block.number, known, None))):
             block.groups.append(text)
             block.n_groups.append(groups)
@@ -213,7 +249,7 @@ class Aligner:
         return [
             n_a, n_b, n_groups[stops] - n_groups[starts], n_links[stops] - n_links[starts],
             [";".join(map(texts_of, numbers[s:e].tolist())) for s, e in zip(starts, stops, strict=True)],
-            [numbers[s:e] for s, e in zip(starts, stops, strict=True)],
+            [_pack(numbers[s:e]) for s, e in zip(starts, stops, strict=True)],
         ]
 
 
@@ -251,14 +287,13 @@ class Alignment:
         """The documents with `n_a`, `n_b`, `n_groups`, `n_links` and `groups`; no shuffle."""
         return self.rows.where("__pairs is null").drop(*_INNER.names)
 
-    def with_counts(self, **changed) -> DataFrame:
+    def with_counts(self) -> DataFrame:
         """`documents()` with `n_best` and `count_sum` over the links of each.
 
         The count of an id pair is the number of links in all documents that hold it; a link is best if no pair with its B
-        id has a greater count. The rows are written once on the way: `changed` are expressions for columns of them, such as
-        a digest in place of the groups.
+        id has a greater count. The rows are written once on the way, and all but the text goes through a shuffle.
         """
-        rows = materialize(self.rows.withColumns(changed), "aligned")
+        rows = materialize(self.rows, "aligned")
         known = rows.where("__pairs is not null").select("__block", F.posexplode(F.arrays_zip("__pairs", "__times"))).select(
             "__block", F.col("pos").alias("__pos"), F.col("col.__pairs").alias("pair"), F.col("col.__times").alias("times")
         )
@@ -284,11 +319,10 @@ def _summed(kept: list[str]):
         rest = table.filter(pc.invert(kind))
         windows = rest.filter(rest.column("__window_sizes").is_valid())
         docs = rest.filter(rest.column("__windows").is_valid())
-        place, sizes = (windows.column(c).combine_chunks().values.to_numpy() for c in ("__window_pairs", "__window_sizes"))
-        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
-        lists = docs.column("__windows").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        used, stops = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
+        place, sizes = (_unpacked(windows.column(c)[0].as_py()) for c in ("__window_pairs", "__window_sizes"))
+        ends = np.append(0, np.cumsum(sizes))
+        lists = [_unpacked(x) for x in docs.column("__windows").to_pylist()]
+        used, stops = np.concatenate([np.empty(0, np.int64), *lists]), np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
         out = docs.select(kept)
         for name, column in (("n_best", "__best"), ("count_sum", "__count")):
             value = values.column(column).to_numpy().astype(np.int64)
@@ -301,12 +335,13 @@ def _summed(kept: list[str]):
     return run
 
 
-def align(docs: DataFrame, a: str, b: str, text: str = "text") -> Alignment:
+def align(docs: DataFrame, a: str, b: str, text: str = "text", digest: bool = False) -> Alignment:
     """The alignment of the tokens of each text by two tokenizers.
 
     `a` is the path of a byte-level BPE in the tokenizers library's JSON form, `b` that of a sentencepiece model that puts a
     blank before a text; both are read by the driver, have a fixed size, and go to the tasks whole. A text is tokenised with
-    a blank before it and without special tokens. `groups` are the ids between shared ends, `a1,a2|b1` joined by `;`.
+    a blank before it and without special tokens. `groups` are the ids between shared ends, `a1,a2|b1` joined by `;`; they
+    are several times as long as the text. With `digest` their SHA-256 stands in their place, and an empty text if there are none.
 
     Null and empty texts, and texts that the tokens' bytes do not give back, have no tokens, groups or links. A very long
     text is a block of its own; an unbroken one is one window, whose work and memory are in proportion to its tokens. Rows
@@ -317,7 +352,7 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text") -> Alignment:
         shared = spark.sparkContext.broadcast((f.read(), g.read()))
     added = [*_COUNTS.names, "groups", "n_best", "count_sum", *_INNER.names]
     kept = docs.drop(text, *added)
-    fields = [*(T.StructField(f.name, f.dataType) for f in kept.schema.fields), *_COUNTS.fields, _GROUPS, *_INNER.fields]
+    fields = [*(T.StructField(f.name, f.dataType) for f in kept.schema.fields), *_COUNTS.fields, T.StructField("groups", T.StringType()), *_INNER.fields]
     names = kept.columns
     arrow = to_arrow_schema(T.StructType(fields))
 
@@ -327,22 +362,27 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text") -> Alignment:
 
         def row(columns: dict, n: int) -> pa.RecordBatch:
             arrays = [
-                columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type)
+                columns[f.name].cast(f.type) if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type)
                 if f.name in columns else pa.nulls(n, f.type) for f in arrow
             ]
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         def closed() -> pa.RecordBatch:
-            found = dict(zip(("__pairs", "__times", "__window_pairs", "__window_sizes"), block.dictionary(), strict=True))
-            return row({"__block": [serial], **{k: [v] for k, v in found.items()}}, 1)
+            pairs, times, place, sizes = block.dictionary()
+            return row({
+                "__block": [serial], "__pairs": [pairs], "__times": [times], "__window_pairs": [_pack(place)],
+                "__window_sizes": [_pack(sizes)],
+            }, 1)
 
         for whole in batches:
             texts = whole.column(len(names)).to_pylist()
             for at, end in _runs(texts):
                 *counts, groups, windows = aligner.align(texts[at:end], block)
                 mine = whole.slice(at, end - at)
+                if digest:
+                    groups = [g and hashlib.sha256(g.encode()).hexdigest() for g in groups]
                 yield row({
-                    **{n: mine.column(k).cast(arrow.field(n).type) for k, n in enumerate(names)},
+                    **{n: mine.column(k) for k, n in enumerate(names)},
                     **dict(zip(_COUNTS.names, counts, strict=True)), "groups": groups, "__block": [serial] * (end - at),
                     "__windows": windows,
                 }, end - at)

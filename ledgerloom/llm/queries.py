@@ -257,8 +257,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = alignment.align(documents, TOKENIZER, public_tokenizers.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    return aligned.with_counts(groups=digest).select(
+    aligned = alignment.align(documents, TOKENIZER, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.with_counts().select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
     )
