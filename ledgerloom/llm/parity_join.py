@@ -2,7 +2,7 @@
 
 Two sets link when their Jaccard similarity is at least num / den. Then their symmetric difference is at most
 (den - num) / (den + num) of the sum of their sizes: D. A set is sketched by XOR: each shingle toggles the 64-bit pattern
-of its hash in one of P > D blocks, so two sets that link differ in at most D blocks and have a block in common
+of its hash in one of P = D + 1 blocks, so two sets that link differ in at most D blocks and have a block in common
 (pigeonhole). Sizes fall into bands; P depends on the band of the larger set, and a set that may link with larger ones
 takes part in the next band too. A second sketch of 512 single bits bounds the symmetric difference from below by its
 Hamming distance and dismisses most chance meetings before any set is compared.
@@ -16,13 +16,14 @@ within a component are never made.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, release, scratch_paths
 from .common import BATCH_ROWS, LOWER, hash_words, mix, shingles, small_side
 from .components import components
 
@@ -66,7 +67,7 @@ class Bands:
 
     def _blocks(self, hashes: np.ndarray, band: int, largest: int) -> np.ndarray:
         differ = self.differing(2 * largest)
-        blocks = differ + 1 + -(-differ // 4)
+        blocks = differ + 1
         place = (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         first = np.flatnonzero(np.diff(place[order], prepend=-1))
@@ -98,17 +99,19 @@ def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
 
 
 def _profile(bands: Bands):
-    """Per document: the size of its set, the single-bit sketch, and the join keys."""
+    """Per document: the size of its set, a digest of it, the single-bit sketch, its least join keys and all of them."""
 
     def make(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[str], list]:
         top = 64 * SKETCH
         bits = np.array([np.bincount((s & np.uint64(top - 1)).astype(np.int64), minlength=top) & 1 for s in sets])
         words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64) if len(sets) else np.zeros((0, SKETCH), np.int64)
         sizes = np.array([len(s) for s in sets], np.int64)
+        digests = [np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64) for salt in (1, 2)]
+        keys = [bands.keys(s) if len(s) else s for s in sets]
         return (
-            ["id", "n", *[f"s{k}" for k in range(SKETCH)], "keys"],
-            [ids, sizes, *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)],
-             _lists([bands.keys(s) if len(s) else s for s in sets])],
+            ["id", "n", "d1", "d2", *[f"s{k}" for k in range(SKETCH)], "least", "keys"],
+            [ids, sizes, *[d.view(np.int64) for d in digests], *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)],
+             _lists([np.sort(k.view(np.int64))[:LEAST] for k in keys]), _lists(keys)],
         )
 
     return make
@@ -139,50 +142,125 @@ def link_components(
     sequence if it has fewer words. Null and empty texts have no set and link with nothing. Rows with one id are one
     document; a null id links with nothing and has no component. Shingles are told apart by 64-bit hashes.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     words = ", ".join(f"s{k} long" for k in range(SKETCH))
     bands = Bands(num, den)
-    profile = materialize(
-        _per_row(rows, size, f"id long, n long, {words}, keys array<long>", _profile(bands)), "profiles"
-    )
-    labels = components(_links(rows.where("id is not null and text is not null"), profile, size, bands))
+    schema = f"id long, n long, d1 long, d2 long, {words}, least array<long>, keys array<long>"
+    keyed, place = _scratch(_per_row(rows, size, schema, _profile(bands)), "keys")
+    profile = materialize(keyed.drop("keys"), "profiles")
+    met = _met(keyed.where("id is not null and n > 0").select(F.explode("keys").alias("key"), "id"))
+    release(spark, [place])
+    labels = components(_links(rows.where("id is not null and text is not null"), profile, met, size, bands))
     return profile.select("id", F.col("n").alias("n_shingles")).join(
         labels, F.col("id") == F.col("node"), "left"
     ).select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def _links(rows: DataFrame, profile: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A written table, and its path for `release` once its last reader is written."""
+    table = materialize(df, label)
+    return table, scratch_paths()[-1]
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """The rows (key, id) whose key several ids have, with the smallest of them as `first`.
+
+    Rows are sorted by key and id over all tasks, so the rows of a key follow each other, over the border of a task too if
+    they are many. A task walks along its rows and leaves out keys with one row; only of its first and last key it cannot
+    tell, and these, two for each task, are put together afterwards.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        border = True
+
+        def runs(key: np.ndarray, ident: np.ndarray, border: bool, last: bool) -> pa.RecordBatch:
+            start = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.empty(0, np.int64)
+            size = np.diff(np.append(start, len(key)))
+            of = np.repeat(np.arange(len(start)), size)
+            edge = np.zeros(len(start), bool)
+            if len(start):
+                edge[0] |= border
+                edge[-1] |= last
+            several = edge | (ident[start] < ident[start + size - 1])
+            kept = several[of]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x[kept]) for x in (key, ident, ident[start][of], edge[of])], ["key", "id", "first", "edge"]
+            )
+
+        for batch in batches:
+            key, ident = (batch.column(k).to_numpy() for k in (0, 1))
+            if held is not None:
+                key, ident = np.concatenate([held[0], key]), np.concatenate([held[1], ident])
+            if not len(key):
+                continue
+            if key[0] == key[-1] and border:  # the first key of the task goes on
+                yield runs(key, ident, True, True)
+                held = None
+                continue
+            if key[0] == key[-1]:
+                held = key, ident
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            yield runs(key[:cut], ident[:cut], border, False)
+            border = False
+            held = key[cut:], ident[cut:]
+        if held is not None:
+            yield runs(*held, border, True)
+
+    order = ["key", "id"]
+    walked, place = _scratch(
+        blocks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+            walk, "key long, id long, first long, edge boolean"
+        ), "walked-blocks",
+    )
+    edges = walked.where("edge").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    over = walked.where("edge").drop("first", "edge").join(F.broadcast(edges.drop("last")), "key")  # two keys a task at most
+    met = materialize(walked.where("not edge").drop("edge").unionByName(over), "blocks")
+    release(blocks.sparkSession, [place])
+    return met
+
+
+def _links(rows: DataFrame, profile: DataFrame, met: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Links (a, b) that connect what all links connect."""
+    spark = rows.sparkSession
     num, den = bands.num, bands.den
     known = profile.where("id is not null and n > 0")
-    blocks = known.select(F.explode("keys").alias("key"), "id")
-    shared = blocks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    met = materialize(blocks.join(shared.drop("last"), "key"), "blocks")
-    facts = F.struct("n", *[f"s{k}" for k in range(SKETCH)])
-    look = known.drop("keys").distinct().select("id", facts.alias("p"))
+    facts = F.struct("n", "d1", "d2", *[f"s{k}" for k in range(SKETCH)])
+    look = known.select("id", facts.alias("p")).distinct()
     one, two = look.withColumnRenamed("id", "a"), look.withColumnsRenamed({"id": "b", "p": "q"})
     first = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(one, "a").join(two, "b").where(_near("p", "q", num, den)).select("a", "b").distinct()
-    links = _verified(rows, materialize(first, "pairs"), size, num, den)
+    links = _verified(rows, first.join(one, "a").join(two, "b"), size, num, den)
     # Blocks whose sets are in several components: each pair across components, at one of the blocks it shares.
     placed = met.select("key", "id").join(components(links), F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("component", "id").alias("c")
     )
     several = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    least = known.select("id", facts.alias("p"), F.slice(F.array_sort("keys"), 1, LEAST).alias("least")).distinct()
-    left = materialize(placed.join(several, "key").join(least, "id"), "open-blocks")
+    least = known.select("id", facts.alias("p"), "least").distinct()
+    left, place = _scratch(placed.join(several, "key").join(least, "id"), "open-blocks")
     other = left.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("p").alias("q"), F.col("least").alias("other"))
     both = F.array_intersect("least", "other")
     once = (F.size(both) == 0) | (F.col("key") == F.array_min(both))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").where(
-        (F.col("c") < F.col("d")) & _near("p", "q", num, den) & once
-    )
-    return links.unionByName(_verified(rows, materialize(rest.select("a", "b").distinct(), "pairs"), size, num, den))
+    rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("c") < F.col("d")) & once)
+    more = _verified(rows, rest, size, num, den)
+    release(spark, [place])
+    return links.unionByName(more)
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by comparing their sets; only documents that occur in pairs are looked up."""
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
+    """The pairs (a, b), with their profiles p and q, that link.
+
+    Sizes and sketches dismiss pairs; sets of one digest are equal; the others are compared, for which only documents that
+    occur in such pairs are looked up.
+    """
+    spark = rows.sparkSession
+    equal = F.col("p.d1").eqNullSafe(F.col("q.d1")) & (F.col("p.d2") == F.col("q.d2")) & (F.col("p.n") == F.col("q.n"))
+    near, first = _scratch(
+        pairs.where(_near("p", "q", num, den)).select("a", "b", equal.alias("equal")).distinct(), "pairs"
+    )
+    pairs = near.where("not equal").select("a", "b")
+    wanted, second = _scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
 
     def sets(ids: np.ndarray, own: list[np.ndarray]) -> tuple[list[str], list]:
         return ["id", "set"], [ids, _lists(own)]
@@ -194,4 +272,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int)
     )
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return materialize(both.where(common * den >= union * num).select("a", "b").distinct(), "links")
+    compared = both.where(common * den >= union * num).select("a", "b")
+    links = materialize(near.where("equal").select("a", "b").unionByName(compared).distinct(), "links")
+    release(spark, [first, second])
+    return links
