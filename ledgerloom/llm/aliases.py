@@ -81,8 +81,9 @@ def judge_pages(
     """`pages` with `host`, `path`, `rule`, `verdict` and `alias_class` (the smallest node of its class).
 
     `links` may name further redirects (columns `from_url`, `to_url`), such as a crawler's log. URLs that are null or have
-    no `://` have no host, path, rule or class and are allowed. Repeated pages are judged alike. Columns so named are
-    replaced.
+    no `://` have no host, path, rule or class and are allowed. Repeated pages are judged alike, long addresses and pages whole. Columns so
+    named are replaced, others stay as they are; names beginning with two underscores are for the operator. An empty table
+    gives an empty one.
     """
     made = ("host", "path", "rule", "verdict", "alias_class")
     address = F.col(url).cast("string")
@@ -105,7 +106,9 @@ def judge_pages(
     )
     placed = nodes.join(classes, "node", "left").withColumn("alias_class", F.coalesce("component", "node"))
     of_class = placed.groupBy("alias_class").agg(F.bool_or("allows").alias("allows"), F.bool_or("blocks").alias("blocks"))
-    spread = placed.select("node", "alias_class").join(of_class, "alias_class")
-    judged = rows.join(spread, F.col("__node") == F.col("node"), "left")
-    inherited = F.when(F.col("blocks") & ~F.col("allows"), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("verdict", inherited)).drop("__node", "node", "allows", "blocks")
+    spread = placed.select("node", "alias_class").join(of_class, "alias_class").withColumnsRenamed(
+        {"node": "__own", "allows": "__allows", "blocks": "__blocks"}  # apart from what pages may have
+    )
+    judged = rows.join(spread, F.col("__node") == F.col("__own"), "left")
+    inherited = F.when(F.col("__blocks") & ~F.col("__allows"), "block").otherwise("allow")
+    return judged.withColumn("verdict", F.coalesce("verdict", inherited)).drop("__node", "__own", "__allows", "__blocks")

@@ -10,14 +10,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import annotate
+from .common import annotate, code_points
 
 #: Distinct stretches of text a worker remembers the ids of before it starts afresh.
 REMEMBERED = 600_000
@@ -30,24 +28,11 @@ FIELDS = T.StructType([
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def _ranges(kind: str) -> str:
-    """The code points of a general category as ranges of a character class."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
 class Pieces:
     """The byte-level rule that cuts a text into pieces before any merge."""
 
     def __init__(self) -> None:
-        letter, number = _ranges("L"), _ranges("N")
+        letter, number = code_points("L"), code_points("N")
         #: Runs of anything but space, with one blank before them, and runs of space: pieces never cross their borders.
         self.stretches = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
         self.pieces = re.compile(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,6 +97,19 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def code_points(kind: str) -> str:
+    """The code points of a general category as ranges of a character class."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, a written table of a few numbers per row, marked for broadcast if it is within `rows`."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -36,7 +36,10 @@ def _batches(batches):
 
 
 def _tokens(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of all lines of `size` words or more: their hashes and lines; and the text and number of each line."""
+    """The shingles of all lines with a word: their hashes and lines; and the text and number of each line.
+
+    A line of fewer than `size` words has its whole sequence as the one shingle.
+    """
     data = [t.encode().translate(LOWER) for t in texts]
     joined = b"\n".join(data)
     words, starts = hash_words(joined)
@@ -46,7 +49,17 @@ def _tokens(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     for k in range(size):
         token = mix(token * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(token)])
     inside = line[: len(token)] == line[size - 1 :]
-    token, line = token[inside], line[: len(token)][inside]
+    tokens, lines = [token[inside]], [line[: len(token)][inside]]
+    first = np.flatnonzero(np.diff(line, prepend=-1))  # the first word of each line with one
+    length = np.diff(np.append(first, len(line)))
+    for n in range(1, size):
+        at = first[length == n]
+        token = np.full(len(at), np.uint64(n))
+        for k in range(n):
+            token = mix(token * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
+        tokens.append(token)
+        lines.append(line[at])
+    token, line = np.concatenate(tokens), np.concatenate(lines)
     own, of = np.unique(line, return_inverse=True)
     counts = [d.count(b"\n") + 1 for d in data]
     firsts = np.cumsum(counts) - counts  # of each text's lines among all
@@ -112,7 +125,8 @@ def rarity(rows: DataFrame, size: int) -> np.ndarray:
 def _line_sets(rows: DataFrame, size: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
     """One row per line with a set: its size, a digest of the set, a sketch, and its prefix tokens from rare to common.
 
-    Of lines with equal sets in one batch only the first carries the prefix.
+    Of lines with equal sets in one batch only the first carries the prefix. A set of one token matches equal sets only
+    (above a half), which digests tell, and carries none.
     """
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
@@ -122,7 +136,7 @@ def _line_sets(rows: DataFrame, size: int, num: int, den: int, ranks: np.ndarray
             n, d1, sketch = x.sizes, x.digest(1), x.sketch()
             told = np.zeros(len(n), bool)
             told[np.unique(d1, return_index=True)[1]] = True
-            length = np.where(told, n - -(-n * num // den) + 1, 0)
+            length = np.where(told & ((n > 1) | (2 * num <= den)), n - -(-n * num // den) + 1, 0)
             kept = np.arange(len(x.of)) - x.starts[x.of] < length[x.of]
             yield pa.RecordBatch.from_arrays([
                 pa.array(x.ids), pa.array(x.numbers), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(x.digest(2)),
@@ -153,8 +167,8 @@ def matched_lines(
 ) -> DataFrame:
     """`id`, `line` of every line that an earlier line matches; lines are numbered from 0.
 
-    Lines are cut at line feeds, words at ASCII blanks after A-Z are lower-cased. Lines of fewer than `size` words match
-    nothing; nor do null texts and rows with a null id. Of lines with equal sets the first one stays. Rows with one id are
+    Lines are cut at line feeds, words at ASCII blanks after A-Z are lower-cased. The set of a line of fewer than `size` words
+    is its whole sequence; lines without words match nothing, nor do null texts and rows with a null id. Of lines with equal sets the first one stays. Rows with one id are
     taken as one document: their lines of one number count as the same place. Tokens are told apart by 58 bits of a hash and their rank.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import annotate
+from .common import annotate, code_points
 
 #: Bytes of a context at most.
 ORDER = 4
@@ -35,12 +35,15 @@ FIELDS = T.StructType([
     T.StructField("bits_per_byte", T.DoubleType()),
 ])
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = code_points("L")
+_LETTER = re.compile(f"[{_LETTERS}]")
+_NO_LETTERS = re.compile(f"[^{_LETTERS}{code_points('M')}]+")
 
 
 def canonical(text: str | None) -> bytes:
-    """Lower-cased text with one blank for each run of anything but letters; nothing if it has no letter."""
-    return b" " + stripped.encode() + b" " if text and (stripped := _NO_LETTERS.sub(" ", text.lower()).strip()) else b""
+    """Lower-cased text with one blank for each run of anything but letters and marks on them; nothing without a letter."""
+    stripped = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return b" " + stripped.encode() + b" " if _LETTER.search(stripped) else b""
 
 
 def _codes(data: np.ndarray, size: int) -> np.ndarray:

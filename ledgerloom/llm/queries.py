@@ -153,7 +153,7 @@ with l as (
     from documents)
 ), s as (
   select distinct doc_id, line, array_to_string(w[k : k + 4], ' ') as sh
-  from l, unnest(range(1, len(w) - 3)) as r(k) where len(w) >= 5
+  from l, unnest(range(1, greatest(2, len(w) - 3))) as r(k) where len(w) > 0
 ), n as (
   select doc_id, line, count(*) as n from s group by all
 ), p as (

@@ -193,12 +193,14 @@ def _cut_rows(placed: DataFrame, blocks: DataFrame, files: DataFrame, cuts: list
 def assign(rows: DataFrame, old_shard: Column, plan: Plan) -> DataFrame:
     """`rows` with `shard`, `slot` (gapless from 0 in each shard) and `moved`; columns so named are replaced.
 
+    Rows are counted by file, so the same rows in files of other names or cuts may go to other shards and slots.
+
     The runs are a few literals per old shard; the file offsets are one row per file and join as Catalyst sees fit.
     """
     placed = _placed(rows.drop("shard", "slot", "moved"), old_shard)
-    start = plan.files.select(F.col("__file").alias("__path"), F.col("__old").alias("__of"), F.col("start_row"))
+    start = plan.files.select(F.col("__file").alias("__path"), F.col("__old").alias("__of"), F.col("start_row").alias("__start"))
     placed = placed.join(start, (F.col("__file") == F.col("__path")) & (F.col("__old") == F.col("__of")), "left")
-    at = F.col("start_row") + F.col("__row")
+    at = F.col("__start") + F.col("__row")
     place = F.struct(F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     for run in reversed(plan.runs):
         here = (F.col("__old") == run.old) & (at >= run.first) & (at < run.last)

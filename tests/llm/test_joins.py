@@ -101,7 +101,7 @@ def test_line_dedup(spark, all_rows):
     rows = [r for r in all_rows if r[0] != 17] + extra
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").repartition(3)
     lines = [
-        (i, k, x, shingles(words(x), 5) if len(words(x)) >= 5 else set())
+        (i, k, x, shingles(words(x), 5))
         for i, t in {i: t for i, t, _ in rows}.items() if t is not None for k, x in enumerate(t.split("\n"))
     ]
     gone = {
@@ -215,3 +215,45 @@ def test_reshard(spark, docs, all_rows, tmp_path):
     assert abs(plan.total_bytes - stayed - plan.moved_bytes) <= 12 * 5
     docs.limit(0).write.parquet(str(tmp_path / "none"))
     assert reshard.reshard(spark.read.parquet(str(tmp_path / "none")), old, "text", 8)[0].count() == 0
+
+
+def test_columns_named_as_helpers(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(1, "http://a.com/x", None, "n", "a", "b"), (2, None, "<p>", "n", "a", "b")],
+        "page_id long, url string, html string, node string, allows string, blocks string",
+    )
+    for table in (pages, pages.limit(0)):
+        judged = aliases.judge_pages(table, [("allow", "com/")])
+        assert judged.where("node = 'n' and allows = 'a' and blocks = 'b'").count() == table.count()
+    rows = spark.createDataFrame([(k, "x" * k, 5) for k in range(40)], "doc_id long, text string, start_row int")
+    rows.write.parquet(str(tmp_path / "rows"))
+    placed, _ = reshard.reshard(spark.read.parquet(str(tmp_path / "rows")), F.lit(0), "text", 3)
+    assert sorted((r.doc_id, r.start_row) for r in placed.collect()) == [(k, 5) for k in range(40)]
+
+
+def test_short_lines_and_copied_documents(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c\nd e"), (2, "A b  c\nd e"), (3, "d e f\na b c d\na b c d e"), (4, "a b c d\na b c d e\n\n a\n,"), (5, "a")],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.remove_matched_lines(docs).collect()}
+    assert got == {1: (0, "a b c\nd e"), 2: (2, ""), 3: (0, "d e f\na b c d\na b c d e"), 4: (2, "\n a\n,"), 5: (1, "")}
+
+
+def test_shared_blocks_over_task_borders(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 60), rng.randint(0, 40)) for _ in range(300)] + [(7, k) for k in range(4000)] + [(61, 5), (61, 5), (62, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "key long, id long").repartition(3)
+        got = parity_join._met(table).collect()
+        assert parity_join._met(table.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ids = {}
+    for k, i in rows:
+        ids.setdefault(k, set()).add(i)
+    want = sorted((k, i, min(ids[k])) for k, i in rows if len(ids[k]) > 1)
+    assert sorted((r.key, r.id, r["first"]) for r in got) == want

@@ -18,7 +18,7 @@ def brute(rows, items):
     """(id, text) that the stages leave of (id, text); every text with a letter is in a known language."""
     rows = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
     lines = [
-        (i, k, shingles(words(x), 5) if len(words(x)) >= 5 else set()) for i, t in rows for k, x in enumerate(t.split("\n"))
+        (i, k, shingles(words(x), 5)) for i, t in rows for k, x in enumerate(t.split("\n"))
     ]
     gone = {
         (i, k) for i, k, s in lines for j, m, o in lines if (j, m) < (i, k) and s and o and 10 * len(s & o) >= 8 * len(s | o)

@@ -333,3 +333,9 @@ def test_pseudonyms_leave_the_rest(spark, docs):
 def test_pseudonyms_are_native(docs):
     plan = pseudonyms.pseudonymise(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_only_letters_make_a_language():
+    for text in ("½ ²", "①Ⅷ", "12 _ ,", "́", "", None):
+        assert ppm.canonical(text) == b"", text
+    assert ppm.canonical("Ab²c, É́") == " ab c é́ ".encode()
