@@ -2,7 +2,7 @@
 
 Two sets link when their Jaccard similarity is at least num / den. Then their symmetric difference is at most
 (den - num) / (den + num) of the sum of their sizes: D. A set is sketched by XOR: each shingle toggles the 64-bit pattern
-of its hash in one of P = D + 1 blocks, so two sets that link differ in at most D blocks and have a block in common
+of its hash in one of P > D blocks, so two sets that link differ in at most D blocks and have a block in common
 (pigeonhole). Sizes fall into bands; P depends on the band of the larger set, and a set that may link with larger ones
 takes part in the next band too. A second sketch of 512 single bits bounds the symmetric difference from below by its
 Hamming distance and dismisses most chance meetings before any set is compared.
@@ -67,7 +67,8 @@ class Bands:
 
     def _blocks(self, hashes: np.ndarray, band: int, largest: int) -> np.ndarray:
         differ = self.differing(2 * largest)
-        blocks = differ + 1
+        # A quarter more than pigeonhole needs: then more than `differ` are occupied, and empty ones, alike in all, are no keys.
+        blocks = differ + 1 + -(-differ // 4)
         place = (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         first = np.flatnonzero(np.diff(place[order], prepend=-1))
