@@ -45,6 +45,7 @@ def annotate(
                 new = work(batch.column(len(names) - 1).to_pylist())
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return kept.select("*", df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 

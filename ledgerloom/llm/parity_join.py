@@ -95,6 +95,7 @@ def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
                 sets = [_set(t, size) for t in batch.column(1).to_pylist()]
                 names, arrays = make(batch.column(0).to_numpy(zero_copy_only=False), sets)
                 yield pa.RecordBatch.from_arrays([pa.array(a) if not isinstance(a, pa.Array) else a for a in arrays], names)
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return docs.mapInArrow(run, schema)
 

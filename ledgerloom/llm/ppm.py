@@ -10,6 +10,8 @@ and then only looks it up. The language with the shortest code wins.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import annotate, code_points
+from .common import annotate
 
 #: Bytes of a context at most.
 ORDER = 4
@@ -25,7 +27,7 @@ ORDER = 4
 FIT_BYTES = 2_000_000
 
 #: Five-byte windows a worker keeps the code lengths of (slots of a table), and windows scored at once.
-SLOTS, AT_ONCE = 1 << 20, 1 << 20
+SLOTS, AT_ONCE = 1 << 20, 1 << 19
 
 UNKNOWN = "und"
 
@@ -35,15 +37,19 @@ FIELDS = T.StructType([
     T.StructField("bits_per_byte", T.DoubleType()),
 ])
 
-_LETTERS = code_points("L")
-_LETTER = re.compile(f"[{_LETTERS}]")
-_NO_LETTERS = re.compile(f"[^{_LETTERS}{code_points('M')}]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers that the pattern would take for letters, such as fractions and Roman numerals.
+_NUMBERS = {c: " " for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")}
 
 
 def canonical(text: str | None) -> bytes:
-    """Lower-cased text with one blank for each run of anything but letters and marks on them; nothing without a letter."""
-    stripped = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    return b" " + stripped.encode() + b" " if _LETTER.search(stripped) else b""
+    """Lower-cased text with one blank for each run of anything but letters; nothing if it has no letter.
+
+    Combining marks that are characters of their own are no letters.
+    """
+    low = text.lower() if text else ""
+    stripped = _NO_LETTERS.sub(" ", low if low.isascii() else low.translate(_NUMBERS)).strip()
+    return b" " + stripped.encode() + b" " if stripped else b""
 
 
 def _codes(data: np.ndarray, size: int) -> np.ndarray:

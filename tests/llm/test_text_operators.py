@@ -338,4 +338,4 @@ def test_pseudonyms_are_native(docs):
 def test_only_letters_make_a_language():
     for text in ("½ ²", "①Ⅷ", "12 _ ,", "́", "", None):
         assert ppm.canonical(text) == b"", text
-    assert ppm.canonical("Ab²c, É́") == " ab c é́ ".encode()
+    assert ppm.canonical("Ab²c, É\u0301 漢字") == " ab c é 漢字 ".encode()
