@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,21 @@ from .joins import beside, lookup_join
 NOT_FETCHED = "fetch_failed: no response body"
 
 
-def fetched_documents(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of a document that is still read, and pages up to which all are; None lifts a limit."""
+
+    max_bytes: int | None = vocab.INVOICE_MAX_BYTES
+    full_read: int | None = vocab.FULL_READ_PAGES
+
+
+def fetched_documents(rows: DataFrame, bodies: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Trusted or rejected document per distinct URL worth fetching, without its text."""
     urls = rows.where(is_substantive_reference(F.col("invoice_url"))).select(F.col("invoice_url").alias("url")).distinct()
-    document = documents.classify_body(F.col("url"), F.col("content_type"), F.col("body"), F.col("page_count"))
+    document = documents.classify_body(
+        F.col("url"), F.col("content_type"), F.col("body"), F.col("page_count"),
+        max_bytes=limits.max_bytes, full_read=limits.full_read,
+    )
     return bodies.join(urls, "url", "left_semi").select(
         F.col("url").alias("invoice_url"), documents.without_text(document).alias("url_doc")
     )
@@ -31,7 +44,7 @@ def document_texts(bodies: DataFrame, files: DataFrame) -> DataFrame:
     return fetched.unionByName(files.select("sha256", "text")).where("sha256 is not null").dropDuplicates(["sha256"])
 
 
-def local_documents(rows: DataFrame, files: DataFrame, lookup: DataFrame) -> DataFrame:
+def local_documents(rows: DataFrame, files: DataFrame, lookup: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Resolution status and document per distinct (key, entity) of rows that have no URL.
 
     `files` carries stem, size_bytes, head, sha256, page_count and text.
@@ -41,7 +54,7 @@ def local_documents(rows: DataFrame, files: DataFrame, lookup: DataFrame) -> Dat
     content = files.select("stem", "size_bytes", "head", "sha256", "page_count", text_tokens(F.col("text")).alias("tokens"))
     document = documents.classify_file(
         F.col("stem"), F.col("size_bytes"), F.col("head"), F.col("sha256"), F.col("page_count"),
-        F.lit(None).cast("string"), F.col("hint"), tokens=F.col("tokens"),
+        F.lit(None).cast("string"), F.col("hint"), limits.max_bytes, limits.full_read, F.col("tokens"),
     )
     missed = documents.unavailable_invoice(
         F.lit("local_file"), F.col("key"), F.concat(F.lit("local_resolution_"), F.col("status"))
@@ -57,7 +70,8 @@ def _one(name: str, test: Column) -> Column:
 
 
 def work_items(
-    rows: DataFrame, bodies: DataFrame | None, files: DataFrame, lookup: DataFrame, fetch_urls: bool = True
+    rows: DataFrame, bodies: DataFrame | None, files: DataFrame, lookup: DataFrame, fetch_urls: bool = True,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """Scorer-bound rows with invoice, had_invoice, invoice_accessed, flags, estimate, fingerprint.
 
@@ -68,12 +82,12 @@ def work_items(
     entity = F.coalesce(F.trim("entityid"), F.lit(""))
     joined = lookup_join(
         rows.withColumn("_entity", entity).withColumn("_key", F.when(~has_url, F.col("key"))),
-        local_documents(rows, files, lookup).withColumnRenamed("key", "_key"), ["_key", "_entity"], "row_idx",
+        local_documents(rows, files, lookup, limits).withColumnRenamed("key", "_key"), ["_key", "_entity"], "row_idx",
     )
     url_error = lambda text: documents.unavailable_invoice(F.lit("url"), F.col("invoice_url"), F.lit(text))
     nothing = F.lit(None).cast(documents.INVOICE_TYPE)
     if fetch_urls:
-        joined = lookup_join(joined, fetched_documents(rows, bodies), ["invoice_url"], "row_idx")
+        joined = lookup_join(joined, fetched_documents(rows, bodies, limits), ["invoice_url"], "row_idx")
         substantive = is_substantive_reference(F.col("invoice_url"))
         by_url = F.when(~substantive, url_error("reference_too_short")).otherwise(
             F.coalesce("url_doc", url_error(NOT_FETCHED))

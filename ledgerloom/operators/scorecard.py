@@ -15,14 +15,22 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+#: What amounts are summed as: 36 digits before the point.
+_MONEY = "decimal(38,2)"
+
+
 def money(c: str = "amount") -> Column:
-    """Sum of amounts as decimals; an amount beyond sixteen digits before the point is left out (see `unsummed`)."""
-    return F.sum(F.col(c).try_cast("decimal(18,2)"))
+    """Sum of amounts as decimals; null if it has more digits than they hold. `unsummed` rows are in no sum."""
+    return F.try_sum(F.col(c).try_cast(_MONEY))
+
+
+def _unsummed(c: str) -> Column:
+    return F.col(c).isNotNull() & F.col(c).try_cast(_MONEY).isNull()
 
 
 def unsummed(records: DataFrame, c: str = "amount") -> DataFrame:
-    """Rows whose amount is no money value and so is in no sum: not a number, or too large."""
-    return records.where(F.col(c).isNotNull() & F.col(c).try_cast("decimal(18,2)").isNull())
+    """Rows whose amount is no money value and so is in no sum: not a number, or of more than 36 digits."""
+    return records.where(_unsummed(c))
 
 
 def read_stats(ledger: DataFrame, skipped_blank_rows: DataFrame | None = None) -> DataFrame:
@@ -157,9 +165,11 @@ def run_summary(records: DataFrame, total_rows_in: DataFrame) -> DataFrame:
     def single(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.struct(*df.columns).alias(name))
 
+    left_out = records.agg(F.count_if(_unsummed("amount")).alias("unsummed_rows"))
     parts = [
         single(coverage(records, total_rows_in), "coverage"), listed(class_tally(records), "by_classification"),
         listed(phase_tally(records), "by_phase"), listed(amounts(records), "amounts_by_classification_currency"),
+        single(left_out, "amounts"),
         listed(invoice_tallies(records), "invoice"), single(deal_profile_stats(records), "deal_profile"),
         listed(flag_counts(records), "flag_counts"), single(usage_totals(records), "usage"),
     ]

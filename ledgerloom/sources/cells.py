@@ -171,11 +171,11 @@ def raw_rows(cells: DataFrame, file: str, sheet: str) -> DataFrame:
 # -- account tabs and the flat sheet -----------------------------------------------------------------------------
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """Per sheet the first of the top rows that names period, counterparty and amount; else the usual row, flagged."""
+def header_rows(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
+    """Per sheet the first of the top `probe_rows` that names period, counterparty and amount; else the usual row, flagged."""
     header = _header()
     seen = [F.bool_or(header.contains(word)).alias(word) for word in vocab.PROBE_WORDS]
-    top = cells.where(F.col("row_no") <= vocab.PROBE_ROWS)
+    top = cells.where(F.col("row_no") <= probe_rows)
     probed = top.groupBy("file", "sheet", "row_no").agg(*seen)
     every = F.lit(True)
     for word in vocab.PROBE_WORDS:
@@ -188,14 +188,14 @@ def header_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def tab_columns(cells: DataFrame) -> DataFrame:
+def tab_columns(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
     """Per account tab: field to column, from its header row; fields without a column are left out."""
-    top = cells.where(F.col("row_no") <= vocab.PROBE_ROWS)
-    headers = top.join(header_rows(cells), SHEET).where("row_no = header_row")
+    top = cells.where(F.col("row_no") <= probe_rows)
+    headers = top.join(header_rows(cells, probe_rows), SHEET).where("row_no = header_row")
     return field_columns(headers, vocab.TAB_COLUMNS).where("col_no is not null").select("file", "sheet", "field", "col_no")
 
 
-def account_tabs(cells: DataFrame) -> DataFrame:
+def account_tabs(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
     """Every sheet with account id (A2), name (A1, else the tab's), header row, last row, and why it is skipped."""
     corner = lambda r: F.max(F.when((F.col("row_no") == r) & (F.col("col_no") == 1), F.struct("value", "vtype")))
     tabs = cells.groupBy("file", "sheet").agg(
@@ -209,11 +209,11 @@ def account_tabs(cells: DataFrame) -> DataFrame:
     return tabs.select(
         "file", "sheet", ident.alias("account"), F.coalesce(name, F.col("sheet")).alias("account_name"), "last_row",
         reason.alias("skip_reason"),
-    ).join(header_rows(cells), SHEET)
+    ).join(header_rows(cells, probe_rows), SHEET)
 
 
-def _tab_rows(cells: DataFrame) -> DataFrame:
-    tabs = account_tabs(cells).where("skip_reason is null").join(_positions(tab_columns(cells)), SHEET, "left")
+def _tab_rows(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
+    tabs = account_tabs(cells, probe_rows).where("skip_reason is null").join(_positions(tab_columns(cells, probe_rows)), SHEET, "left")
     return lookup_join(rows_from_cells(cells), tabs, SHEET, "row_no", how="inner").where("row_no > header_row")
 
 
@@ -221,7 +221,7 @@ def _tab_period() -> Column:
     return cleaning.none_if_blank(cleaning.strip(cleaning.whole_number_text(_cell("period")["value"], _cell("period")["vtype"])))
 
 
-def extract_tabs(cells: DataFrame) -> DataFrame:
+def extract_tabs(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
     """Rows of all account tabs in the flat column order; rows without a period are dropped."""
     text = lambda f: F.coalesce(_cell(f)["value"], F.lit(""))
     given = {
@@ -233,15 +233,15 @@ def extract_tabs(cells: DataFrame) -> DataFrame:
     kinds = F.struct(
         F.coalesce(_cell("amount")["vtype"], F.lit("s")).alias("amount"), F.coalesce(_cell("date")["vtype"], F.lit("s")).alias("date")
     )
-    return _tab_rows(cells).where(_tab_period().isNotNull()).select(
+    return _tab_rows(cells, probe_rows).where(_tab_period().isNotNull()).select(
         "sheet", "row_no", *[given.get(c, F.lit("")).alias(c) for c in vocab.FLAT_COLUMNS], kinds.alias("kinds")
     )
 
 
-def tab_stats(cells: DataFrame) -> DataFrame:
+def tab_stats(cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
     """Per tab: rows written, rows dropped for a blank period (also rows without any cell), skip reason."""
-    written = _tab_rows(cells).groupBy("file", "sheet").agg(F.count_if(_tab_period().isNotNull()).alias("rows_written"))
-    joined = account_tabs(cells).join(written, SHEET, "left").withColumn("rows_written", F.coalesce("rows_written", F.lit(0)))
+    written = _tab_rows(cells, probe_rows).groupBy("file", "sheet").agg(F.count_if(_tab_period().isNotNull()).alias("rows_written"))
+    joined = account_tabs(cells, probe_rows).join(written, SHEET, "left").withColumn("rows_written", F.coalesce("rows_written", F.lit(0)))
     used = F.col("skip_reason").isNull()
     below = F.greatest(F.col("last_row") - F.col("header_row"), F.lit(0))
     return joined.select(
@@ -282,9 +282,9 @@ def extract_flat(cells: DataFrame) -> DataFrame:
     )
 
 
-def flatten(account_cells: DataFrame, flat_cells: DataFrame) -> DataFrame:
+def flatten(account_cells: DataFrame, flat_cells: DataFrame, probe_rows: int = vocab.PROBE_ROWS) -> DataFrame:
     """Account tabs and the A&T sheet as one flat table, `Source Tab` last."""
-    return extract_tabs(account_cells).unionByName(extract_flat(flat_cells))
+    return extract_tabs(account_cells, probe_rows).unionByName(extract_flat(flat_cells))
 
 
 def flat_export(flat: DataFrame) -> DataFrame:

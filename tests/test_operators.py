@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.documents import INVOICE_TYPE
-from ledgerloom.operators import batching, deals, forecast, invoices, ordering, reconcile, report, scope, triage
+from ledgerloom.operators import batching, deals, forecast, invoices, ordering, reconcile, report, scope, scorecard, triage
 from ledgerloom.operators.joins import lookup_join
 from ledgerloom.operators.rules import Condition, Rule, apply_rules
+from ledgerloom.sources import cells
 
 
 def rows(df, *columns):
@@ -358,3 +359,21 @@ def test_review_order_and_summary(make_ledger):
         ("Grand total", 4, 70.0), ("Total", 3, 60.0), ("human_review", 3, 60.0), ("non_recurring", 0, 0.0)
     ]
     assert report.excluded_count(ledger).first()[0] == 1
+
+
+def test_sums_take_large_amounts_and_tell_what_they_leave_out(spark):
+    rows = [("flag", "USD", v) for v in (1e17, 2.5e20, 0.25, -1e17, 1e40, float("nan"), None)] + [("recurring", "EUR", 9.9e35)] * 2
+    records = spark.createDataFrame(rows, "classification string, currency string, amount double")
+    got = {r.classification: r.amount for r in scorecard.amounts(records).collect()}
+    assert got == {"flag": 2.5e20 + 0.25, "recurring": None}  # more digits than a sum holds
+    assert scorecard.unsummed(records).count() == 2
+
+
+def test_probe_depth_is_an_argument(spark):
+    header = ["Period", "Counterparty", "Amount"]
+    grid = [("f", "s", 1, 1, 1, "Acme", "s"), ("f", "s", 1, 2, 1, "MR70000001", "s")]
+    grid += [("f", "s", 1, 20, k, w, "s") for k, w in enumerate(header, 1)]
+    frame = spark.createDataFrame(grid, "file string, sheet string, sheet_no int, row_no int, col_no int, value string, vtype string")
+    found = lambda *depth: cells.header_rows(frame, *depth).select("header_row", "fallback").first()
+    assert tuple(found()) == (6, True) and tuple(found(20)) == (20, False)
+    assert cells.account_tabs(frame, 20).first().header_row == 20

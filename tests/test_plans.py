@@ -76,3 +76,28 @@ def test_query_equals_its_check(spark, name):
     assert sorted(columns) == sorted(df.columns)
     got = sorted(str(tuple(r)) for r in df.select(*[F.col(f"`{c}`") for c in columns]).collect())
     assert got == sorted(str(tuple(r)) for r in cursor.fetchall())
+
+
+def test_limits_of_documents_are_lifted_by_the_job(spark, make_ledger):
+    ledger = make_ledger([{"invoice_url": "http://x/long"}, {"descrptn": "depot 73190 wired"}])
+    bodies = spark.createDataFrame(
+        [("http://x/long", "application/pdf", "y" * 400, 60)], "url string, content_type string, body string, page_count int"
+    )
+    files = spark.createDataFrame(
+        [("73190", 1000, "%PDF-", "sha", 50, "z" * 800)],
+        "stem string, size_bytes long, head string, sha256 string, page_count int, text string",
+    )
+    lookup = spark.createDataFrame(
+        [], "vendor_invoice_no string, invoice_key string, gnl_ref string, pages string, gl_entityids string, csv_row long"
+    )
+    bound = triage.scorer_bound(triage.prepared(ledger))
+
+    def read(limits):
+        items = resolution.work_items(bound, bodies, files, lookup, limits=limits).orderBy("row_idx").collect()
+        return [(r.invoice_accessed, r.invoice.pages_read) for r in items]
+
+    ends = [("yes", "1-2,59-60"), ("yes", "1-2,49-50")]
+    assert read(resolution.Limits()) == ends
+    assert read(resolution.Limits(full_read=55)) == [ends[0], ("yes", "1-50")]
+    assert read(resolution.Limits(None, None)) == [("yes", "1-60"), ("yes", "1-50")]
+    assert [accessed for accessed, _ in read(resolution.Limits(max_bytes=300))] == ["no", "no"]
