@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 
 DASH = "—"
-_HASHED_FIELDS = (
+HASHED_FIELDS = (
     "acctnum", "adddesc", "amount", "category", "currency", "department", "descrptn", "entityid", "entrdate",
     "invoice_url", "period", "ref", "source", "userid",
 )
@@ -22,13 +22,13 @@ def row_fingerprint(sha256: Column, row: dict[str, Column] | None = None) -> Col
 
     Each field is written `name=value`, null as `name!`, separated by U+001F, the amount with two decimals.
     """
-    field = row or {name: F.col(name) for name in _HASHED_FIELDS}
+    field = row or {name: F.col(name) for name in HASHED_FIELDS}
 
     def tagged(name: str) -> Column:
         value = field[name].cast("decimal(38,2)").cast("string") if name == "amount" else field[name]
         return F.coalesce(F.concat(F.lit(f"{name}="), value), F.lit(f"{name}!"))
 
-    parts = [tagged(name) for name in _HASHED_FIELDS]
+    parts = [tagged(name) for name in HASHED_FIELDS]
     tail = [F.coalesce(sha256, F.lit(vocab.NO_INVOICE)), F.lit(vocab.HASH_VERSION)]
     return F.sha2(F.concat_ws("\u001f", *parts, *tail), 256)
 

@@ -20,6 +20,7 @@ LEDGER_FIELDS = (
     "row_idx", "period", "acctnum", "ref", "entityid", "department", "category", "amount", "amount_was_blank",
     "currency", "descrptn", "adddesc", "source", "entrdate", "userid", "invoice_url",
 )
+_LEDGER_TYPES = {"row_idx": "bigint", "amount": "double", "amount_was_blank": "boolean"}
 HIDDEN_FROM_SCORER = ("amount_was_blank", "userid")
 ANSWER_FIELDS = (
     "classification", "basis", "recognized_deal", "invoice_read", "invoice_date", "reasoning", "evidence", "missing_info",
@@ -96,6 +97,23 @@ def settled_records(settled: DataFrame) -> DataFrame:
     }))
 
 
+def error_records(flawed: DataFrame) -> DataFrame:
+    """Records of rows that could not be prepared (`error` says why): they go to a human, none is dropped.
+
+    Their fingerprint is that of the row without its amount.
+    """
+    from ..functions.reporting import HASHED_FIELDS, row_fingerprint
+
+    fields = {name: F.col(name) for name in HASHED_FIELDS} | {"amount": F.lit(None).cast("double")}
+    text = F.concat(F.lit("phase0_resolution_error: "), F.col("error"))
+    return as_records(flawed.withColumns({
+        "row_hash": row_fingerprint(F.lit(None).cast("string"), fields), "error": text, "missing_info": text,
+        "phase": F.lit("phase0"), "classification": F.lit("human_review"), "basis": F.lit("none"),
+        "reasoning": F.lit(vocab.ERROR_TEXT), "evidence": F.lit("none"), "had_invoice": F.lit("no"),
+        "invoice_accessed": F.lit("no"), "flags": F.array().cast("array<string>"),
+    }))
+
+
 def _add_flag(flags: Column, name: str, test: Column) -> Column:
     return F.when(test, F.array_union(flags, F.array(F.lit(name)))).otherwise(flags)
 
@@ -182,16 +200,28 @@ def sweep_records(items: DataFrame, quarters: list[str], failures: DataFrame, mo
     }))
 
 
+_DECISION = (
+    "classification", "basis", "recognized_deal", "invoice_read", "invoice_date", "reasoning", "evidence",
+    "missing_info", "override",
+)
+_USAGE = ("input_tokens", "output_tokens")
+
+
+def log_schema() -> str:
+    """The stored shape as a schema, for readers."""
+    packet = ",".join(f"{name}:{_LEDGER_TYPES.get(name, 'string')}" for name in LEDGER_FIELDS)
+    struct = lambda names: f"struct<{','.join(f'{n}:{RECORD_FIELDS[n]}' for n in names)}>"
+    plain = {n: t for n, t in RECORD_FIELDS.items() if n not in _DECISION + _USAGE}
+    columns = {"row_idx": "bigint", "packet": f"struct<{packet}>", **plain, "decision": struct(_DECISION), "usage": struct(_USAGE)}
+    return ", ".join(f"`{n}` {t}" for n, t in columns.items())
+
+
 def nest_records(records: DataFrame) -> DataFrame:
     """The stored shape: packet, decision and usage as structs."""
-    decision = (
-        "classification", "basis", "recognized_deal", "invoice_read", "invoice_date", "reasoning", "evidence",
-        "missing_info", "override",
-    )
     return records.select(
         "row_idx", F.struct(*LEDGER_FIELDS).alias("packet"), "phase", "model_version", "error", "had_invoice",
-        "invoice_accessed", "invoice", F.struct(*decision).alias("decision"), "flags", "row_hash",
-        F.struct("input_tokens", "output_tokens").alias("usage"),
+        "invoice_accessed", "invoice", F.struct(*_DECISION).alias("decision"), "flags", "row_hash",
+        F.struct(*_USAGE).alias("usage"),
     )
 
 

@@ -118,8 +118,8 @@ def work_items(
     })
 
 
-def preparation_counts(settled: DataFrame, items: DataFrame) -> DataFrame:
-    """The counters of the preparation phase, one row."""
+def preparation_counts(settled: DataFrame, items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The counters of the preparation phase, one row. `errors` holds the rows that could not be prepared."""
     read_failed = (F.col("invoice_accessed") == "no") & (
         ((F.col("reference") == "url") & is_substantive_reference(F.col("invoice_url")))
         | ((F.col("reference") == "key") & is_substantive_reference(F.col("key")))
@@ -145,11 +145,16 @@ def preparation_counts(settled: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if((ref == "key") & (F.col("status") == "no_match")).alias("local_no_match"),
         F.count_if((ref == "key") & (F.col("status") == "ambiguous")).alias("ambiguous"),
     )
-    return beside(from_settled, from_items).select(
+    parts = beside(from_settled, from_items)
+    if errors is None:
+        parts = parts.withColumn("errors", F.lit(0).cast("bigint"))
+    else:
+        parts = beside(parts, errors.agg(F.count(F.lit(1)).alias("errors")))
+    return parts.select(
         "reclass_fired", "closegl_fired", "closegl_guard_trips", "negatives_skipped", "to_classify",
         (F.col("settled_had") + F.col("item_had")).alias("had_invoice_yes"), "invoice_accessed_yes",
         "invoice_unavailable", "invoice_read_failed", "url_fetched_ok", "url_fetch_failed", "local_resolved",
-        "local_no_match", "ambiguous", F.lit(0).cast("bigint").alias("errors"),
+        "local_no_match", "ambiguous", "errors",
     )
 
 

@@ -78,9 +78,12 @@ def scope_periods(ledger: DataFrame, months: str | None = None) -> DataFrame:
 
 
 def material(min_usd: float | None = None):
-    """Condition: blank amounts always stay, others need |amount| of at least `min_usd` (0 or less switches it off)."""
+    """Condition: blank amounts always stay, others need |amount| of at least `min_usd` (0 or less switches it off).
+
+    A row without any amount stays too, so that it gets its error record.
+    """
     floor = vocab.SCOPE_MIN_USD if min_usd is None else float(min_usd)
-    return F.lit(True) if floor <= 0 else F.col("amount_was_blank") | (F.abs("amount") >= floor)
+    return F.lit(True) if floor <= 0 else F.col("amount_was_blank") | F.coalesce(F.abs("amount") >= floor, F.lit(True))
 
 
 def filter_scope(ledger: DataFrame, months: str | None = None, min_usd: float | None = None) -> DataFrame:

@@ -87,6 +87,23 @@ def triage(rows: DataFrame) -> DataFrame:
     })
 
 
+def flaw(amount: Column) -> Column:
+    """Why a row cannot be prepared, else null: its fingerprint and estimate need an amount of at most 32 digits."""
+    return F.when(amount.isNull(), "amount is missing").when(
+        amount.try_cast("decimal(38,6)").isNull(), F.concat(F.lit("amount is no sum of money: "), amount.cast("string"))
+    )
+
+
+def sound(rows: DataFrame) -> DataFrame:
+    """Rows that can be prepared."""
+    return rows.where(flaw(F.col("amount")).isNull())
+
+
+def flawed(rows: DataFrame) -> DataFrame:
+    """The other rows, with `error`."""
+    return rows.withColumn("error", flaw(F.col("amount"))).where("error is not null")
+
+
 def prepared(ledger: DataFrame) -> DataFrame:
     return triage(with_mined_key(ledger))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -46,6 +47,20 @@ def part(name: str, needs: tuple[str, ...], text: str) -> None:
     PARTS[name] = (needs, text.strip())
 
 
+def derive(prefix: str, names: tuple[str, ...], given: tuple[str, ...], swaps: dict[str, str] | None = None) -> None:
+    """Copies of the parts `names` under `prefix`, reading each other and the prefixed `given` instead.
+
+    `swaps` replaces other text in them.
+    """
+    moved = (*names, *given)
+    pattern = re.compile(rf"\b(from|join) ({'|'.join(moved)})\b")
+    for name in names:
+        needs, text = PARTS[name]
+        for old, new in (swaps or {}).items():
+            text = text.replace(old, new)
+        part(prefix + name, tuple(prefix + n if n in moved else n for n in needs), pattern.sub(rf"\1 {prefix}\2", text))
+
+
 def _needs(name: str) -> tuple[str, ...]:
     if name in PARTS:
         return PARTS[name][0]
