@@ -17,14 +17,16 @@ MOST_BITS = 8.0
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Id and text, and the whole row beside them, so that no column of the documents meets one that a stage adds."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    """Id and text, and the rest of the row beside them, so that no column of the documents meets one that a stage adds."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
 
 
 def _rows(docs: DataFrame, **changed: Column) -> list[Column]:
     """The columns of the documents again, some of them changed."""
     return [
-        changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"__row.`{c}`").alias(c)
+        changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed
+        else F.col("text" if c == "text" else f"__row.`{c}`").alias(c)
         for c in docs.columns
     ]
 

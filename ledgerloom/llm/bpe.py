@@ -10,12 +10,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import annotate, code_points
+from .common import annotate, code_points, resident
 
 #: Distinct stretches of text a worker remembers the ids of before it starts afresh.
 REMEMBERED = 600_000
@@ -158,17 +159,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(vocabulary: str) -> Codec:
-    """This worker's codec for a vocabulary file; later tasks of the same worker go on with it."""
-    if vocabulary not in _CODECS:
-        _CODECS.clear()
-        _CODECS[vocabulary] = Codec(vocabulary)
-    return _CODECS[vocabulary]
-
-
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """`docs` with `ids`, the token ids of each text, and `decoded`, the text that the ids decode to.
 
@@ -178,9 +168,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
     """
     with open(tokenizer, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+    name = f"bpe {uuid.uuid4().hex}"
 
     def start():
-        codec = _codec(vocabulary.value)
+        codec = resident(name, lambda: Codec(vocabulary.value))
 
         def work(texts: list) -> list:
             ids = codec.encode(texts)

@@ -33,7 +33,10 @@ def annotate(
     Arrow array per field. A column of `df` named as one of `fields` is replaced.
     """
     kept = df.drop(*[f.name for f in fields])
-    names = [*kept.columns, "__text"]
+    width = len(kept.columns)
+    # A string column that stays is read where it is, so that no text goes to the worker twice.
+    there = text in kept.columns and kept.schema[text].dataType == T.StringType()
+    at_text = kept.columns.index(text) if there else width
     schema = T.StructType([*kept.schema.fields, *fields.fields])
     kinds = [f.type for f in to_arrow_schema(fields)]
 
@@ -42,12 +45,27 @@ def annotate(
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                new = work(batch.column(len(names) - 1).to_pylist())
+                new = work(batch.column(at_text).to_pylist())
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(new, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=schema.names)
         pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
-    return kept.select("*", df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    rows = kept if there else kept.select("*", df[text].cast("string").alias("__text"))
+    return rows.mapInArrow(run, schema)
+
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """The large state that this worker keeps from task to task; the state of another name is dropped first.
+
+    Spark reuses workers, so that without this each operator's tables would stay beside those of the next.
+    """
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
 
 
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import annotate
+from .common import annotate, resident
 
 #: Bytes of a context at most.
 ORDER = 4
@@ -262,9 +262,6 @@ class Scorer:
                 into[whose[first]] += np.add.reduceat(rows, first, axis=0, dtype=np.float64)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` (its share of probability, all languages being equally likely before) and
     `bits_per_byte` in the language that won.
@@ -273,12 +270,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Equal code lengths go to the language first in the alphabet. Columns of `docs` so named are replaced. The model is
     bounded by the fitting sample and goes to the tasks whole.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"ppm {uuid.uuid4().hex}"
 
     def start():
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value)
-        return _SCORERS[name].score
+        return resident(name, lambda: Scorer(shared.value)).score
 
     return annotate(docs, text, FIELDS, start)
