@@ -1,7 +1,7 @@
 """Quality classifier: a linear hinge-loss model on n-gram indicators scaled by naive Bayes log-count ratios.
 
-Tokens are words and runs of other signs. The n-grams are single tokens, and pairs and triples of token shapes (letter case,
-digits, or the signs themselves) with a mark for a token that repeats the one before. Their indicators are multiplied by
+Tokens are words and runs of other signs. The n-grams are single tokens and pairs of tokens, and pairs and triples of token
+shapes (letter case, digits, or the signs themselves) with a mark for a token that repeats the one before. Their indicators are multiplied by
 the log ratio of their smoothed shares in the two classes, and the weights are fitted by dual coordinate descent. A
 sigmoid that is fitted on margins of rows kept apart turns the margin into a score.
 """
@@ -51,11 +51,12 @@ class _Tokens(dict):
         if not tokens:
             return np.empty(0, np.int32)
         value = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        follows = mix(mix(value[:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ value[1:])
         shape = value & np.uint64(0xFF)
         shape[1:] |= (value[1:] == value[:-1]).astype(np.uint64) << np.uint64(8)
         pairs = shape[:-1] << np.uint64(9) | shape[1:]
         triples = pairs[:-1] << np.uint64(9) | shape[2:]
-        grams = [mix(value ^ np.uint64(1)), mix(np.unique(pairs) ^ np.uint64(2 << 56)), mix(np.unique(triples) ^ np.uint64(3 << 56))]
+        grams = [mix(value ^ np.uint64(1)), follows, mix(np.unique(pairs) ^ np.uint64(2 << 56)), mix(np.unique(triples) ^ np.uint64(3 << 56))]
         return np.unique(np.concatenate(grams) >> np.uint64(46)).astype(np.int32)
 
 
