@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms by keyed Feistel permutations, in DataFrame functions alone.
 
 Numbers and dates in a text are found by one pattern, validated, and permuted within their own format: a card number stays
-a card number of its length with a right check digit, an address stays four octets, a date a date. A permutation depends
-on the key, the kind and the format only, so equal values get equal pseudonyms in every document, different ones different
-ones, and whoever has the key can go back.
+a card number of its length with a right check digit, an address stays four octets, a date a date. Mail names and
+hexadecimal secrets are permuted sign by sign within digits, small and capital letters. A permutation depends on the key,
+the kind and the format only (a mail name's also on the host), so equal values get equal pseudonyms in every document,
+different ones different ones, and whoever has the key can go back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 10
+#: Digits of a card, and how often a match with cards is permuted at most until it can be told apart again.
+CARD_DIGITS = (13, 19)
+WALK = 64
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Java patterns of what is looked for, in this order; a match of an earlier one wins.
@@ -25,7 +29,7 @@ PATTERNS = {
     "social": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
              r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,39}(?![0-9])",
 }
 
 
@@ -75,6 +79,31 @@ class Feistel:
         out = self(name, F.substring(text, F.lit(1), u), F.substring(text, u + 1, v), power(u), power(v))
         return _let(out, lambda x: F.concat(F.lpad(x["l"].cast("string"), u, "0"), F.lpad(x["r"].cast("string"), v, "0")))
 
+    def characters(self, kind: Column, text: Column, letters: int) -> Column:
+        """A permutation of the texts of one layout (up to 128 signs): digits, and the first `letters` small and capital
+        letters, move among themselves, all other signs stay. Rounds move every second sign by a keyed hash of the others,
+        in which small and capital letters are alike."""
+        steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if self.back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+        sign = -1 if self.back else 1
+
+        def turn(c: Column, by: Column) -> Column:
+            code = F.ascii(c)
+            ring = lambda first, size: F.char(first + F.pmod(code - first + sign * by, F.lit(size)))
+            return (
+                F.when(c.between("0", "9"), ring(48, 10)).when(c.between("a", "z"), ring(97, letters))
+                .when(c.between("A", "Z"), ring(65, letters)).otherwise(c)
+            )
+
+        def step(signs: Column, i: Column) -> Column:
+            others = F.lower(F.array_join(F.filter(signs, lambda c, k: k % 2 != i % 2), ""))
+            digest = F.sha2(F.concat_ws("/", F.lit(self.key), kind, F.size(signs).cast("string"), i.cast("string"), others), 512)
+            by = lambda d, k: F.conv(F.substring(d, F.shiftright(k, 1) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            return _let(digest, lambda d: F.transform(
+                signs, lambda c, k: F.when(k % 2 == i % 2, turn(c, by(d, k))).otherwise(c)
+            ))
+
+        return F.array_join(F.aggregate(steps, F.split(text, ""), step), "")
+
 
 def _let(value: Column, use: Map) -> Column:
     """`use(value)` with `value` worked out once."""
@@ -108,18 +137,65 @@ def luhn_digit(payload: Column) -> Column:
     return F.pmod(-F.aggregate(values, F.lit(0), lambda x, d: x + d), F.lit(10))
 
 
+def _valid(digits: Column) -> Column:
+    """Whether the last digit is the check digit of the others."""
+    return F.right(digits, F.lit(1)).cast("int") == luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
+
+
+def _places(value: Column) -> Column:
+    """Where cards could stand in a match: 64 * first digit + digit behind the last, from the start of a group to an end of one.
+
+    They follow from the layout alone: by their starts, longer ones first.
+    """
+    sizes = F.transform(F.split(value, "[ -]"), F.length)
+    digits_of = lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda x, y: x + y)
+    groups = F.size(sizes)
+    pairs = F.transform(F.sequence(F.lit(1), groups), lambda i: F.transform(
+        F.sequence(groups, i, F.lit(-1)), lambda j: digits_of(i - 1) * 64 + digits_of(j)
+    ))
+    return F.filter(F.flatten(pairs), lambda p: (p.bitwiseAND(63) - F.shiftright(p, 6)).between(*CARD_DIGITS))
+
+
+def _chosen(places: Column, digits: Column) -> Column:
+    """The places that hold a valid card, none over one before it."""
+
+    def take(found: Column, p: Column) -> Column:
+        start, end = F.shiftright(p, 6), p.bitwiseAND(63)
+        free = start >= F.coalesce(F.try_element_at(found, F.lit(-1)).bitwiseAND(63), F.lit(0))
+        card = F.substring(digits, start + 1, end - start)
+        return F.when(F.when(free, _valid(card)).otherwise(False), F.concat(found, F.array(p))).otherwise(found)
+
+    return F.aggregate(places, F.array().cast("array<int>"), take)
+
+
 def _card(f: Feistel) -> Map:
-    """All digits but the last are permuted; the last keeps its distance from the right check digit."""
+    """Cards with a right check digit are permuted into such cards, wherever in a longer match they stand; null without one.
 
-    def one(value: Column) -> Column:
-        def renew(digits: Column) -> Column:
-            payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-            off = F.right(digits, F.lit(1)).cast("int") - luhn_digit(payload)
-            return _let(f.digits("card", payload), lambda p: F.concat(
-                p, F.pmod(luhn_digit(p) + off, F.lit(10)).cast("string")
+    The permutation is repeated until the same places are chosen in its result as in the match, which lets it go back.
+    Only a match with several cards among many other digits could reach `WALK` steps; it is then left as it is after them.
+    """
+
+    def move(digits: Column, p: Column) -> Column:
+        start, end = F.shiftright(p, 6), p.bitwiseAND(63)
+        payload = F.substring(digits, start + 1, end - start - 1)
+        new = _let(f.digits("card", payload), lambda d: F.concat(d, luhn_digit(d).cast("string")))
+        return F.concat(F.substring(digits, F.lit(1), start), new, F.substring(digits, end + 1, F.length(digits)))
+
+    def walk(places: Column, digits: Column, chosen: Column) -> Column:
+        def step(x: Column, _: Column) -> Column:
+            moved = _let(F.aggregate(chosen, x["digits"], move), lambda new: F.struct(
+                new.alias("digits"), (_chosen(places, new) == chosen).alias("done")
             ))
+            return F.when(x["done"], x).otherwise(moved)
+
+        start = F.struct(digits.alias("digits"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda x: x["digits"])
 
-        return _refill(value, _let(_only_digits(value), renew))
+    def one(value: Column) -> Column:
+        return _let(F.struct(_places(value).alias("places"), _only_digits(value).alias("digits")), lambda m: _let(
+            _chosen(m["places"], m["digits"]),
+            lambda chosen: F.when(F.size(chosen) > 0, _refill(value, walk(m["places"], m["digits"], chosen))),
+        ))
 
     return one
 
@@ -167,7 +243,7 @@ def _address(f: Feistel) -> Map:
 
 
 def _date(f: Feistel) -> Map:
-    """Days of the same 400 years, which always are 146 097 = 189 x 773; what is no date stays."""
+    """Days of the same 400 years, which always are 146 097 = 189 x 773; null for what is no date."""
 
     def one(value: Column) -> Column:
         year_first = value.rlike("^[0-9]{4}")
@@ -187,54 +263,54 @@ def _date(f: Feistel) -> Map:
             return F.when(year_first, F.concat(y, sign, m, sign, d)).otherwise(F.concat(d, sign, m, sign, y))
 
         parsed = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
-        return F.coalesce(_let(parsed, lambda p: F.when(p.isNotNull(), _let(renew(p), write))), value)
+        return _let(parsed, lambda p: F.when(p.isNotNull(), _let(renew(p), write)))
 
     return one
 
 
-def _hashed(key: str) -> dict[str, Map]:
-    """Mail names and hexadecimal secrets, which are no numbers of a format: keyed hashes written in the same letters."""
-    digest = lambda kind, value: F.sha2(F.concat_ws("/", F.lit(key), F.lit(kind), value), 512)
+def _mail(f: Feistel) -> Map:
+    """The name is permuted, apart for every host; the host stays."""
 
-    def mail(value: Column) -> Column:
+    def one(value: Column) -> Column:
         name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-        letters = F.translate(digest("mail", F.lower(value)), "0123456789", "ghijklmnop")
-        return F.concat(F.substring(letters, F.lit(1), F.greatest(F.length(name), F.lit(12))), F.lit("@"), host)
+        return F.concat(f.characters(F.concat(F.lit("mail"), F.lower(host)), name, 26), F.lit("@"), host)
+
+    return one
 
-    def secret(value: Column) -> Column:
-        new = F.substring(digest("secret", F.lower(value)), F.lit(1), F.length(value))
-        return F.when(F.upper(value) == value, F.upper(new)).otherwise(new)
 
-    return {"mail": mail, "secret": secret}
+def _secret(f: Feistel) -> Map:
+    return lambda value: f.characters(F.lit("secret"), value, 6)
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of one match of `PATTERN`; with `back`, the value of a pseudonym (mail and secrets have none)."""
+    """The pseudonym of one match of `PATTERN`, null if the match holds no valid value; with `back`, the value of a pseudonym."""
     f = Feistel(key, back)
     makers = {
-        "date": _date(f), "address": _address(f), "social": _social(f), "phone": _phone(f), "card": _card(f),
-        **({} if back else _hashed(key)),
+        "mail": _mail(f), "secret": _secret(f), "date": _date(f), "address": _address(f), "social": _social(f),
+        "phone": _phone(f), "card": _card(f),
     }
-    out = value
+    out = F.lit(None).cast("string")
     for kind in reversed(PATTERNS):
-        if kind in makers:
-            shape = PATTERNS[kind].replace(r"\g", r"\1").replace(r"\h", r"\2")
-            out = F.when(value.rlike(f"^(?:{shape})$"), makers[kind](value)).otherwise(out)
+        shape = PATTERNS[kind].replace(r"\g", r"\1").replace(r"\h", r"\2")
+        out = F.when(value.rlike(f"^(?:{shape})$"), makers[kind](value)).otherwise(out)
     return out
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
-    """`docs` with every found value in `text` replaced, and `n_pseudonyms`, the number of matches.
+    """`docs` with every valid value in `text` replaced, and `n_pseudonyms`, the number of matches that hold one.
 
-    Null texts stay null and have no matches; a column named `n_pseudonyms` is replaced. Dates that do not exist are left as
-    they are. Digit strings of card length whose check digit is wrong are permuted too and stay wrong.
+    Null and empty texts stay as they are and have none; long texts are searched whole, repeated rows treated alike, an empty
+    table gives an empty one. A column named `n_pseudonyms` is replaced; `__found` is for the operator. Dates that do not
+    exist and digits that hold no card with a right check digit stay as they are. Runs of more than 40 digits in groups are
+    searched for cards 40 digits at a time.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
-    rows = docs.drop("n_pseudonyms").withColumn("__found", F.when(F.col(text).rlike("[0-9@]"), found))
-    n = F.coalesce(F.size("__found"), F.lit(0))
+    pairs = F.transform(found, lambda x: F.struct(x.alias("old"), pseudonym(x, key, back).alias("new")))
+    rows = docs.drop("n_pseudonyms").withColumn("__found", F.when(F.col(text).rlike("[0-9@]|[A-Fa-f]{32}"), pairs))
+    n = F.coalesce(F.size(F.filter("__found", lambda x: x["new"].isNotNull())), F.lit(0))
     joined = F.zip_with(
-        F.split(F.col(text), PATTERN, -1), F.transform("__found", lambda x: pseudonym(x, key, back)),
-        lambda piece, new: F.concat(piece, F.coalesce(new, F.lit(""))),
+        F.split(F.col(text), PATTERN, -1), "__found",
+        lambda piece, x: F.concat(piece, F.coalesce(x["new"], x["old"], F.lit(""))),
     )
     return rows.withColumns({
         text: F.when(n > 0, F.array_join(joined, "")).otherwise(F.col(text)), "n_pseudonyms": n.cast("long"),
