@@ -194,6 +194,50 @@ def op3_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("aliases_linked", sql="""
+with u as (
+  select page_id, url, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) as host,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+  from pages
+), v as (
+  select *, case when (host = 'net' or host like '%.net') and (starts_with(path, '/es/') or starts_with(path, '/fr/')) then 'block'
+    when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/') then 'allow'
+    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/') then 'block'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'allow' end as own,
+    case when contains(url, '://') then regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^(www|m)\\.', '')
+      || case when path = '' then '/' else path end || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
+        string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'),
+        lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') end as node
+  from u
+), e as (
+  select a.node as a, b.node as b from v a join v b on b.page_id = a.page_id - a.page_id % 7
+  where a.node is not null and b.node is not null
+), c as (
+  select node, node as root from (select distinct node from v where node is not null)
+), both_ways as (
+  select a, b from e union select b, a from e
+), reach as (
+  with recursive r as (
+    select node as a, node as b from c union select r.a, both_ways.b from r join both_ways on both_ways.a = r.b
+  ) select a as node, min(b) as class from r group by a
+), decided as (
+  select class, bool_or(own = 'allow') as allows, bool_or(own = 'block') as blocks from v join reach using (node) group by class
+)
+select page_id, coalesce(own, case when blocks and not coalesce(allows, false) then 'block' end, 'allow') as verdict,
+  class as alias_class
+from v left join reach using (node) left join decided using (class)
+""")
+def aliases_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts through a table of redirects: each page leads to the one whose id is the next smaller multiple of seven."""
+    pages = _table(spark, sf_dir, "pages")
+    target = pages.select(F.col("page_id").alias("__to"), F.col("url").alias("to_url"))
+    links = pages.join(target, F.col("__to") == F.col("page_id") - F.col("page_id") % 7).select(
+        F.col("url").alias("from_url"), "to_url"
+    )
+    judged = aliases.judge_pages(pages, RULES, links=links)
+    return judged.select("page_id", "verdict", "alias_class")
+
+
 #: Stands for a secret that a user passes in.
 PSEUDONYM_KEY = "example key"
 
