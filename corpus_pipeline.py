@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import bpe, decontaminate, line_dedup, parity_join, ppm
-from ledgerloom.session import materialize, release, scratch_paths
+from ledgerloom.session import bound_batches, materialize, release, scratch_paths
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -82,12 +82,16 @@ _LEFT: list[str] = []
 
 
 def _tidy(stage):
-    """`stage`, which first drops the scratch tables of the stage called before it: that one's result is written by then."""
+    """`stage`, which first drops the scratch tables of the stage called before it: that one's result is written by then.
+
+    Its batches of text are bounded in bytes. That setting of the session stays, because the caller writes the result.
+    """
 
     @wraps(stage)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _LEFT)
         _LEFT.clear()
+        bound_batches(spark)
         before = set(scratch_paths())
         out = stage(spark, docs, sf_dir)
         _LEFT.extend(p for p in scratch_paths() if p not in before)

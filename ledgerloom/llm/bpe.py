@@ -1,6 +1,6 @@
 """Byte-pair encoding with a pair occurrence index, and decoding.
 
-A worker gathers the distinct pieces of a batch that it has not met before and encodes them together: every adjacent pair
+A worker gathers the distinct pieces of some texts that it has not met before and encodes them together: every adjacent pair
 that has a rank is entered in an index from rank to all its positions, the active ranks are applied in ascending order,
 each to all its positions from left to right, and the lists of the pairs that a merge makes are extended.
 """
@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame, types as T
 
 from .common import annotate, code_points, resident
 
-#: Distinct stretches of text a worker remembers the ids of before it starts afresh.
-REMEMBERED = 600_000
+#: Distinct stretches of text a worker remembers the ids of; those not met for long go first. Longer ones are not kept.
+REMEMBERED, LONGEST = 400_000, 64
+
+#: Characters that a worker holds cut into stretches at a time.
+AT_ONCE = 1 << 17
 
 FIELDS = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType()),
@@ -36,6 +40,8 @@ class Pieces:
         letter, number = code_points("L"), code_points("N")
         #: Runs of anything but space, with one blank before them, and runs of space: pieces never cross their borders.
         self.stretches = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+        #: Places where space begins: what is on the left is cut into the same stretches with or without the rest.
+        self.border = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])").search
         self.pieces = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+"
         ).findall
@@ -67,7 +73,9 @@ class Codec:
         self.pairs = codes[self.pair_ranks]
         self.cut = Pieces()
         self.split_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
-        self.known: dict[str, bytes] = {}
+        # A special token's string is in no other stretch, so that both can be looked up in one place.
+        self.known: dict[str, bytes] = dict(self.added)
+        self.older: dict[str, bytes] = {}
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """The ids (as 32-bit numbers) of some pieces, by one pair occurrence index over all of them."""
@@ -136,24 +144,46 @@ class Codec:
             self.known[s] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            parts = self.split_added(text) if text else ()
-            # Every second part is a special token's string.
-            cut.append([[p] if k % 2 else self.cut.stretches(p) for k, p in enumerate(parts)])
-        met = {s for parts in cut for p in parts[::2] for s in p}
+        runs: list[list[bytes]] = [[] for _ in texts]
+        group, size = [], 0
+        for own, text in zip(runs, texts, strict=True):
+            for k, part in enumerate(self.split_added(text) if text else ()):
+                # Every second part is a special token's string.
+                for piece in [part] if k % 2 else self._segments(part):
+                    group.append((own, [piece] if k % 2 else self.cut.stretches(piece)))
+                    size += len(piece)
+                    if size >= AT_ONCE:
+                        self._look_up(group)
+                        group, size = [], 0
+        self._look_up(group)
+        return [np.frombuffer(b"".join(own), np.int32) for own in runs]
+
+    def _segments(self, part: str) -> Iterator[str]:
+        """A long text in segments that have its stretches."""
+        at = 0
+        while len(part) - at > AT_ONCE and (border := self.cut.border(part, at + AT_ONCE)):
+            yield part[at : border.start()]
+            at = border.start()
+        yield part[at:] if at else part
+
+    def _look_up(self, group: list[tuple[list[bytes], list[str]]]) -> None:
+        """Append the ids of the stretches beside each list to it."""
+        met = set().union(*[stretches for _, stretches in group])
         new = met.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = met
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = dict(self.added), self.known
+            new = met.difference(self.known)
+        back = new.intersection(self.older)
+        self.known.update((s, self.older[s]) for s in back)
+        new -= back
         if new:
             self.learn(new)
         get = self.known.__getitem__
-        out = []
-        for parts in cut:
-            runs = [self.added[p[0]] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts)]
-            out.append(np.frombuffer(b"".join(runs), np.int32))
-        return out
+        for own, stretches in group:
+            own.append(b"".join(map(get, stretches)))
+        for s in new:
+            if len(s) > LONGEST:
+                del self.known[s]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")

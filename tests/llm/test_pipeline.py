@@ -6,6 +6,7 @@ import itertools
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_joins import classes, mutated, shingles, words
 from test_text_operators import ITEM_WORD, lower
@@ -74,3 +75,24 @@ def test_stages_take_awkward_tables(spark, docs, tmp_path):
             assert out.where("n_hit = 'old' and ids = 'old'").count() == out.count(), name
         last = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
         assert last.count() == table.count() and last.columns.count("ids") == 1
+
+
+def test_stages_send_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    stage = corpus_pipeline._tidy(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long, size long"))
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    try:
+        spark.conf.unset(name)
+        got = stage(spark, docs, "").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 5 << 20
+        spark.conf.set(name, "1m")  # the caller's own bound stays
+        stage(spark, docs, "")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

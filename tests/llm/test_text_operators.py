@@ -169,6 +169,30 @@ def test_bpe_odd_texts():
     assert [x.tolist() for x in codec.encode([None, ""])] == [[], []] and codec.encode([]) == []
 
 
+def test_bpe_holds_little_at_a_time(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(open(path, encoding="utf-8").read())
+    rng = random.Random(4)
+    # All words differ: what is held must not grow with the texts, be they many or long.
+    many = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(200)) for _ in range(200)]
+    texts = [*many, "  \n ".join(many[:50]), "y" * 3000 + " \t" + many[0], "a<|endoftext|>  <|endoftext|>\n" * 300]
+    monkeypatch.setattr(bpe, "AT_ONCE", 1 << 12)
+    monkeypatch.setattr(bpe, "REMEMBERED", 4000)
+    merged, merge_all = [], codec.merge_all
+
+    def spy(pieces):
+        merged.append(sum(map(len, pieces)))
+        return merge_all(pieces)
+
+    monkeypatch.setattr(codec, "merge_all", spy)
+    for _ in range(2):
+        for text, ids in zip(texts, codec.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(merged) < 3 << 12
+    assert len(codec.known) + len(codec.older) <= 4000 + 2 * len(codec.added)
+    assert max(map(len, [*codec.known, *codec.older])) <= bpe.LONGEST
+
+
 # Language
 
 
