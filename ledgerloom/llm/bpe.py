@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, types as T
 from .common import annotate, code_points, resident
 
 #: Distinct stretches of text a worker remembers the ids of; those not met for long go first. Longer ones are not kept.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 #: Characters that a worker holds cut into stretches at a time.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 18
 
 FIELDS = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType()),
