@@ -5,7 +5,9 @@ Two sets link when their Jaccard similarity is at least num / den. Then their sy
 of its hash in one of P > D blocks, so two sets that link differ in at most D blocks and have a block in common
 (pigeonhole). Sizes fall into bands; P depends on the band of the larger set, and a set that may link with larger ones
 takes part in the next band too. A second sketch of 512 single bits bounds the symmetric difference from below by its
-Hamming distance and dismisses most chance meetings before any set is compared.
+Hamming distance and dismisses most chance meetings before any set is compared. Sets of more shingles than it has bits
+fill it whatever they hold, so they have a third sketch with a bit or two for each shingle, which pairs that are left meet
+before their sets do.
 
 All sets that share a block are first compared with the smallest id among them, and links make components. Only where a
 block's sets are still in different components are pairs across components looked at; of these only those are emitted whose
@@ -100,8 +102,20 @@ def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _wide(own: np.ndarray) -> np.ndarray:
+    """A single-bit sketch of the next power of two of bits; none for sets that the sketch of all sets has bits enough for.
+
+    The sketch of half as many bits is the XOR of its halves.
+    """
+    if len(own) <= 64 * SKETCH:
+        return np.empty(0, np.uint64)
+    top = 1 << (len(own) - 1).bit_length()
+    bits = np.bincount((own & np.uint64(top - 1)).astype(np.int64), minlength=top) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
 def _profile(bands: Bands):
-    """Per document: the size of its set, a digest of it, the single-bit sketch, its least join keys and all of them."""
+    """Per document: the size of its set, a digest of it, its single-bit sketches, its least join keys and all of them."""
 
     def make(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list[str], list]:
         top = 64 * SKETCH
@@ -111,9 +125,9 @@ def _profile(bands: Bands):
         digests = [np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64) for salt in (1, 2)]
         keys = [bands.keys(s) if len(s) else s for s in sets]
         return (
-            ["id", "n", "d1", "d2", *[f"s{k}" for k in range(SKETCH)], "least", "keys"],
+            ["id", "n", "d1", "d2", *[f"s{k}" for k in range(SKETCH)], "wide", "least", "keys"],
             [ids, sizes, *[d.view(np.int64) for d in digests], *[np.ascontiguousarray(words[:, k]) for k in range(SKETCH)],
-             _lists([np.sort(k.view(np.int64))[:LEAST] for k in keys]), _lists(keys)],
+             _lists([_wide(s) for s in sets]), _lists([np.sort(k.view(np.int64))[:LEAST] for k in keys]), _lists(keys)],
         )
 
     return make
@@ -148,7 +162,7 @@ def link_components(
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     words = ", ".join(f"s{k} long" for k in range(SKETCH))
     bands = Bands(num, den)
-    schema = f"id long, n long, d1 long, d2 long, {words}, least array<long>, keys array<long>"
+    schema = f"id long, n long, d1 long, d2 long, {words}, wide array<long>, least array<long>, keys array<long>"
     keyed, place = _scratch(_per_row(rows, size, schema, _profile(bands)), "keys")
     profile = materialize(keyed.drop("keys"), "profiles")
     met = _met(keyed.where("id is not null and n > 0").select(F.explode("keys").alias("key"), "id"))
@@ -233,7 +247,7 @@ def _links(rows: DataFrame, profile: DataFrame, met: DataFrame, size: int, bands
     look = known.select("id", facts.alias("p")).distinct()
     one, two = look.withColumnRenamed("id", "a"), look.withColumnsRenamed({"id": "b", "p": "q"})
     first = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(rows, first.join(one, "a").join(two, "b"), size, num, den)
+    links = _verified(rows, known, first.join(one, "a").join(two, "b"), size, num, den)
     # Blocks whose sets are in several components: each pair across components, at one of the blocks it shares.
     placed = met.select("key", "id").join(components(links), F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("component", "id").alias("c")
@@ -245,23 +259,56 @@ def _links(rows: DataFrame, profile: DataFrame, met: DataFrame, size: int, bands
     both = F.array_intersect("least", "other")
     once = (F.size(both) == 0) | (F.col("key") == F.array_min(both))
     rest = left.withColumnRenamed("id", "a").join(other, "key").where((F.col("c") < F.col("d")) & once)
-    more = _verified(rows, rest, size, num, den)
+    more = _verified(rows, known, rest, size, num, den)
     release(spark, [place])
     return links.unionByName(more)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _within(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose wide sketches leave a link possible, or which have none; a pair may come several times."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
+            (x, y), most = (_slices(batch.column(k)) for k in (4, 5)), (n + m) * (den - num)
+            kept = [_distance(x(k), y(k)) * (den + num) <= most[k] for k in range(len(a))]
+            yield pa.RecordBatch.from_arrays([pa.array(v[np.array(kept, bool)]) for v in (a, b)], ["a", "b"])
+
+    wide = known.select("id", "n", "wide").distinct()
+    both = pairs.join(wide.withColumnsRenamed({"id": "a", "wide": "x"}), "a").join(
+        wide.withColumnsRenamed({"id": "b", "n": "m", "wide": "y"}), "b"
+    )
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _slices(lists: pa.ListArray):
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return lambda k: flat[at[k] : at[k + 1]]
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two wide sketches differ, the longer one folded to the shorter; 0 where there is none."""
+    if not len(x) or not len(y):
+        return 0
+    x, y = sorted((x, y), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())  # of signed numbers it counts the absolute value's
+
+
+def _verified(rows: DataFrame, known: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b), with their profiles p and q, that link.
 
     Sizes and sketches dismiss pairs; sets of one digest are equal; the others are compared, for which only documents that
-    occur in such pairs are looked up.
+    occur in such pairs are looked up. A set goes along with each pair it is in, so that long sets that meet by chance must
+    be dismissed before: `known` has their wide sketches, of a sixty-fourth of the size or two.
     """
     spark = rows.sparkSession
     equal = F.col("p.d1").eqNullSafe(F.col("q.d1")) & (F.col("p.d2") == F.col("q.d2")) & (F.col("p.n") == F.col("q.n"))
     near, first = _scratch(
         pairs.where(_near("p", "q", num, den)).select("a", "b", equal.alias("equal")).distinct(), "pairs"
     )
-    pairs = near.where("not equal").select("a", "b")
+    pairs, third = _scratch(_within(near.where("not equal").select("a", "b"), known, num, den).distinct(), "close-pairs")
     wanted, second = _scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidates")
 
     def sets(ids: np.ndarray, own: list[np.ndarray]) -> tuple[list[str], list]:
@@ -276,5 +323,5 @@ def _verified(rows: DataFrame, pairs: DataFrame, size: int, num: int, den: int)
     union = F.size("x") + F.size("y") - common
     compared = both.where(common * den >= union * num).select("a", "b")
     links = materialize(near.where("equal").select("a", "b").unionByName(compared).distinct(), "links")
-    release(spark, [first, second])
+    release(spark, [first, second, third])
     return links

@@ -257,3 +257,31 @@ def test_shared_blocks_over_task_borders(spark):
         ids.setdefault(k, set()).add(i)
     want = sorted((k, i, min(ids[k])) for k, i in rows if len(ids[k]) > 1)
     assert sorted((r.key, r.id, r["first"]) for r in got) == want
+
+
+def test_long_sets_that_meet_by_chance(spark):
+    """Pairs of long sets go before the sets themselves are brought together; those around the threshold stay."""
+    rng = random.Random(7)
+    long = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage, base = long(300), long(2100)
+    texts = [passage + long(n) for n in (700, 1300, 1500, 2000, 2100)]  # a common passage and nothing else
+    for changed in range(8, 64, 4):  # a changed word takes five shingles
+        own = list(base)
+        for at in rng.sample(range(0, 2000, 25), changed):
+            own[at] = f"u{rng.randrange(10**9)}"
+        texts.append(own + long(rng.choice([0, 100])))
+    rows = [(k, " ".join(own)) for k, own in enumerate(texts)]
+    sets = [(k, shingles(own, 5)) for k, own in enumerate(texts)]
+    pairs = [(a, b, len(x & y) * 10 >= len(x | y) * 8) for (a, x), (b, y) in itertools.combinations(sets, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = parity_join.Bands(8, 10)
+    words_ = ", ".join(f"s{k} long" for k in range(parity_join.SKETCH))
+    schema = f"id long, n long, d1 long, d2 long, {words_}, wide array<long>, least array<long>, keys array<long>"
+    known = parity_join._per_row(docs, 5, schema, parity_join._profile(bands))
+    asked = spark.createDataFrame([p[:2] for p in pairs], "a long, b long")
+    left = set(map(tuple, parity_join._within(asked, known, 8, 10).collect()))
+    linked = {p[:2] for p in pairs if p[2]}
+    assert 0 < len(linked) < len(pairs) and linked <= left
+    assert not any(a < 5 for a, _ in left)
+    found = {r.id: r.component_id for r in parity_join.link_components(docs).collect()}
+    assert found == classes(range(len(texts)), linked)
