@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ledgerloom import vocab
 from ledgerloom.operators import resolution, scope, triage
 from ledgerloom.plans import catalog
 from ledgerloom.plans.registry import CHECKS, QUERIES, Context
+from ledgerloom.sources import cells
 
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -101,3 +103,32 @@ def test_limits_of_documents_are_lifted_by_the_job(spark, make_ledger):
     assert read(resolution.Limits(full_read=55)) == [ends[0], ("yes", "1-50")]
     assert read(resolution.Limits(None, None)) == [("yes", "1-60"), ("yes", "1-50")]
     assert [accessed for accessed, _ in read(resolution.Limits(max_bytes=300))] == ["no", "no"]
+
+
+def test_cells_never_meet_by_sheet(spark, tmp_path):
+    """One sheet may hold nearly all cells, so tables of sheets come to the cells; rows of other accounts are not put together."""
+    grid = "file string, sheet_no int, sheet string, row_no int, col_no int, value string, vtype string"
+    flat = lambda n, *v: [("b", 1, vocab.AT_SHEET, n, k, x, "s") for k, x in enumerate(v, start=1)]
+    tab = lambda n, *v: [("a", 1, "T", n, k, x, "s") for k, x in enumerate(v, start=1)]
+    rows = flat(1, "ACCTNUM", "PERIOD", "USD Amount")
+    for n in range(2, 200):
+        rows += flat(n, vocab.MA_ACCOUNT if n % 50 == 0 else "58200000" if n == 64 else "MR70000001", "202601", str(n))
+    tabs = tab(1, "Name") + tab(2, "MR70000001") + tab(4, "Period", "Counterparty", "Amount") + tab(7, "202601", "x", "5")
+    for name, made in (("flat", rows), ("tabs", tabs)):
+        spark.createDataFrame(made, grid).write.parquet(f"{tmp_path}/{name}")
+    flat_cells, tab_cells = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("flat", "tabs"))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as if nothing were known to be small
+    try:
+        for out, cells_ in ((cells.extract_flat(flat_cells), 1), (cells.extract_tabs(tab_cells), 1)):
+            text = plan(out)
+            assert "SortMergeJoin" not in text and "hashpartitioning(file" not in text
+            assert text.count("hashpartitioning(row_no") == cells_
+        got = sorted((r["row_no"], r["USD Amount"]) for r in cells.extract_flat(flat_cells).collect())
+        near = cells.cells_of_rows(flat_cells, flat_cells.where("row_no in (63, 64, 127, 128)").select("file", "sheet", "row_no"))
+        assert sorted({r.row_no for r in near.collect()}) == [63, 64, 127, 128] and near.count() == 12
+    finally:
+        spark.conf.set(name, before)
+    assert got == [(n, str(n)) for n in (50, 64, 100, 150)]
+    assert [r["USD Amount"] for r in cells.extract_tabs(tab_cells).collect()] == ["5"]
