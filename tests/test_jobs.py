@@ -171,3 +171,11 @@ def test_check_of_cells_names_what_is_wrong(spark):
 def test_unknown_amounts_stay_in_scope(make_ledger):
     rows = scope.filter_scope(make_ledger([{"amount": None}, {"amount": 1.0}, {"amount": 2000.0}]))
     assert sorted(r.row_idx for r in rows.collect()) == [2, 4]
+
+
+def test_flat_run_flattens_once(spark, tmp_path, monkeypatch):
+    called = []
+    monkeypatch.setattr(jobs.cells, "flatten", lambda *a, whole=jobs.cells.flatten: called.append(a) or whole(*a))
+    failures = spark.createDataFrame([], "row_idx long, reason string")
+    jobs.flat_run(*workbooks(spark), "2026Q1", no_invoices(spark), recurring, failures, str(tmp_path / "run"), 1)
+    assert len(called) == 1
