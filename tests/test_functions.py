@@ -152,3 +152,11 @@ def test_low_end_tokens(spark):
     got = values(spark, "a int", [(0,)], tokens.low_end_tokens(F.lit(900 + 3 * 5300 + 10), invoice))
     assert got == [900 + 3 * 3700 + 10]
     assert math.isclose(values(spark, "a int", [(0,)], tokens.input_price(F.lit("x-claude-haiku-4-5-y")))[0], 1.0)
+
+
+def test_escapes_are_seen_at_every_sign(spark):
+    """The first 300 signs but DEL, which counts as one, and some beyond: as long as their ASCII JSON literals."""
+    signs = [chr(k) for k in [*range(127), *range(128, 300), 0x2028, 0x1F600]]
+    rows = spark.createDataFrame([(f"a{c}b", len(json.dumps(f"a{c}b"))) for c in signs], "t string, want int")
+    assert rows.where(tokens.json_text_length(F.col("t")) != F.col("want")).count() == 0
+    assert tokens._NOT_PLAIN.count("-") == 1  # one range of signs: several are tested one by one
