@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom import vocab
-from ledgerloom.operators import resolution, scope, triage
+from ledgerloom.operators import joins, resolution, scope, triage
 from ledgerloom.plans import catalog
 from ledgerloom.plans.registry import CHECKS, QUERIES, Context
 from ledgerloom.sources import cells
@@ -132,3 +132,20 @@ def test_cells_never_meet_by_sheet(spark, tmp_path):
         spark.conf.set(name, before)
     assert got == [(n, str(n)) for n in (50, 64, 100, 150)]
     assert [r["USD Amount"] for r in cells.extract_tabs(tab_cells).collect()] == ["5"]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """The salt must be among what the join's shuffle goes by: else all rows without a key meet in one task."""
+    rows = spark.range(3000).selectExpr("id as row_idx", "case when id % 10 = 0 then cast(id as string) end as k")
+    lookup = spark.range(0, 3000, 20).selectExpr("cast(id as string) as k", "id as found")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        joined = joins.lookup_join(rows, lookup, ["k"], "row_idx")
+        text = plan(joined)
+        assert all("_salt" in part[:40] for part in text.split("hashpartitioning(")[1:]) and "hashpartitioning(" in text
+        got = {r.row_idx: r.found for r in joined.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {n: n if n % 20 == 0 else None for n in range(3000)}
