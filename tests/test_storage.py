@@ -156,3 +156,19 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
     fake = type("S", (), {"sparkContext": FakeContext, "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
     with pytest.raises(RuntimeError):
         scratch_root(fake)
+
+
+def test_log_is_packed_and_takes_plain_lines_too(spark, tmp_path, make_ledger):
+    path = tmp_path / "log"
+    rows = make_ledger([{"descrptn": "reclass"}] * 300)
+    nested = reconcile.nest_records(reconcile.settled_records(triage.settled(triage.prepared(rows))))
+    log.append_log(nested.withColumn("seq", F.lit(1).cast("long")), str(path))
+    files = [f for f in path.rglob("part-*")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 300 * 100  # a line has several hundred signs
+    again = nested.where("row_idx < 5").withColumn("seq", F.lit(2).cast("long"))
+    again.withColumn("store", F.lit("main")).write.mode("append").partitionBy("store").json(str(path))
+    lines = log.read_ordered_log(spark, str(path), reconcile.log_schema())
+    assert (lines.count(), lines.where("seq.seq = 2").count()) == (303, 3)
+    latest = log.latest_per_row(lines)
+    assert latest.count() == 300 and {r.seq.seq for r in latest.where("row_idx < 5").collect()} == {2}
